@@ -63,7 +63,8 @@ def fit_boosting(
         seed=seed,
     )
     if validation:
-        est = est.setValidationIndicatorCol(validation).setValidationTol(float(tolerance))
+        est = est.setValidationIndicatorCol(validation)
+        est = est.set(est.validationTol, float(tolerance))
     return fit_pipeline(df, features, est)
 
 

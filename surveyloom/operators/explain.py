@@ -249,9 +249,10 @@ def shapley_linear(
 
 def shapley_summary(contributions: DataFrame, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Per feature: mean absolute contribution, its quantiles, and its correlation with the feature value."""
+    spread_of = F.stddev_pop("value") * F.stddev_pop("contribution")
     means = contributions.groupBy("feature").agg(
         F.avg(F.abs("contribution")).alias("mean_abs"),
-        F.corr("value", "contribution").alias("value_corr"),
+        F.try_divide(F.covar_pop("value", "contribution"), spread_of).alias("value_corr"),
     )
     long = contributions.select("feature", "contribution")
     spread = (

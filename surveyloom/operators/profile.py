@@ -246,20 +246,6 @@ def high_corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshold:
     return rho.where((F.col("feature_x") < F.col("feature_y")) & (F.abs("rho") > threshold))
 
 
-def forecast_band(
-    df: DataFrame, key: str, date: str, original: str, predicted: str, upper: str, lower: str
-) -> DataFrame:
-    """Date, observed and predicted value, with the band when the table has one.
-
-    Without a date column the row key takes its place.
-    """
-    when = F.col(date) if date in df.columns else F.col(key)
-    picked = [when.alias("date"), F.col(original).alias("original"), F.col(predicted).alias("predicted")]
-    if upper in df.columns:
-        picked += [F.col(upper).alias("upper"), F.col(lower).alias("lower")]
-    return df.select(*picked)
-
-
 def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of the tables, matched by column name; absent columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
