@@ -35,6 +35,24 @@ def scaled(col: str) -> str:
     return f"_std_{col}"
 
 
+WEIGHT = "_weight"
+
+
+def fold_rows(df: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, int]:
+    """Training rows with a weight column, and how many rows they stand for.
+
+    Survey answers repeat: where at most half of the rows differ, equal ones become one weighted row,
+    and every later pass of an iterative fit reads the short table. The weighted loss is the same.
+    """
+    slim = df.select(*features, label)
+    seen = slim.agg(
+        F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*slim.columns)).alias("d")
+    ).first()
+    if 2 * seen["d"] <= seen["n"]:
+        return slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias(WEIGHT)), seen["n"]
+    return slim.withColumn(WEIGHT, F.lit(1.0)), seen["n"]
+
+
 @dataclass
 class ExpressionModel:
     """A model whose margin is a column expression: scoring is one projection inside generated code."""
@@ -76,12 +94,18 @@ class PipelineClassifier:
 
 
 def fit_pipeline(
-    df: DataFrame, features: Sequence[str], estimator, scale: bool = False, before: Sequence = (), vector: str = VECTOR
+    df: DataFrame,
+    features: Sequence[str],
+    estimator,
+    scale: bool = False,
+    before: Sequence = (),
+    scaler: Scaler | None = None,
 ) -> PipelineClassifier:
     """Assemble the features, optionally scaled, run the given stages and fit the estimator."""
     features = list(features)
-    scaler = Scaler.fit(df, features) if scale else None
-    names = [scaled(c) for c in features] if scale else features
+    if scaler is None and scale:
+        scaler = Scaler.fit(df, features)
+    names = [scaled(c) for c in features] if scaler else features
     stages = [VectorAssembler(inputCols=names, outputCol=VECTOR), *before, estimator]
     train = scaler.apply(df) if scaler else df
     fitted = Pipeline(stages=stages).fit(train)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from surveyloom.operators.classifiers.base import (
     VECTOR,
+    WEIGHT,
     ExpressionModel,
     PipelineClassifier,
     Scaler,
     fit_pipeline,
+    fold_rows,
     scaled,
 )
 
@@ -38,7 +40,8 @@ def fit_logistic(
     mixes = {"l1": 1.0, "l2": 0.0, "elasticnet": float(l1_ratio), None: 0.0}
     if penalty not in mixes:
         raise ValueError(f"unknown penalty {penalty}")
-    strength = 0.0 if penalty is None else 1.0 / (float(C) * max(1, df.count()))
+    train, n = fold_rows(df, features, label)
+    strength = 0.0 if penalty is None else 1.0 / (float(C) * max(1, n))
     est = LogisticRegression(
         featuresCol=VECTOR,
         labelCol=label,
@@ -47,8 +50,9 @@ def fit_logistic(
         fitIntercept=bool(fit_intercept),
         standardization=False,
         maxIter=max_iter,
+        weightCol=WEIGHT,
     )
-    return fit_pipeline(df, features, est)
+    return fit_pipeline(train, features, est)
 
 
 class FourierModel:
@@ -95,23 +99,29 @@ def fit_svm(
     'linear' is direct, 'poly' (degree 3) goes through the expanded features, and 'rbf' through
     random Fourier features (Rahimi and Recht 2007), whose inner products approach the kernel.
     """
-    n = max(1, df.count())
+    train, n = fold_rows(df, features, label)
     svm = LinearSVC(
-        featuresCol=VECTOR, labelCol=label, regParam=1.0 / (float(C) * n), maxIter=max_iter, standardization=False
+        featuresCol=VECTOR,
+        labelCol=label,
+        weightCol=WEIGHT,
+        regParam=1.0 / (float(C) * max(1, n)),
+        maxIter=max_iter,
+        standardization=False,
     )
+    scaler = Scaler.fit(df, features)
     if kernel == "linear":
-        return fit_pipeline(df, features, svm, scale=True)
+        return fit_pipeline(train, features, svm, scaler=scaler)
     if kernel == "poly":
         expand = PolynomialExpansion(degree=3, inputCol=VECTOR, outputCol="_poly")
-        return fit_pipeline(df, features, svm.setFeaturesCol("_poly"), scale=True, before=[expand])
+        return fit_pipeline(train, features, svm.setFeaturesCol("_poly"), before=[expand], scaler=scaler)
     if kernel != "rbf":
         raise ValueError(f"kernel {kernel} is not available")
     d = len(features)
     width = 1.0 / d if gamma in ("scale", "auto") else float(gamma)
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, math.sqrt(2 * width), (d, n_components))
-    model = FourierModel(features, Scaler.fit(df, features), weights, rng.uniform(0, 2 * math.pi, n_components))
-    model.svm = svm.fit(model.project(df))
+    model = FourierModel(features, scaler, weights, rng.uniform(0, 2 * math.pi, n_components))
+    model.svm = svm.fit(model.project(train))
     return model
 
 

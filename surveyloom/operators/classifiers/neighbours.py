@@ -117,7 +117,7 @@ def nearest(
     # the row limit is applied in each task before the shuffle.
     same = Window.partitionBy("x").orderBy("id")
     rows = train.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
-    rows, query = materialize(rows, "neighbours"), materialize(query.select("x"), "queries")
+    rows, query = materialize(rows, "neighbours"), materialize(query.select("x"), "queries", spread=True)
     n = rows.count()
     if not n:
         raise ValueError("no training rows")

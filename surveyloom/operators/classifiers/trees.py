@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame
 
-from surveyloom.operators.classifiers.base import VECTOR, PipelineClassifier, fit_pipeline
+from surveyloom.operators.classifiers.base import VECTOR, WEIGHT, PipelineClassifier, fit_pipeline, fold_rows
 
 # Spark's own limit on tree depth; stands for "no limit".
 DEEPEST = 30
@@ -64,7 +64,7 @@ def fit_boosting(
     )
     if validation:
         est = est.setValidationIndicatorCol(validation)
-        est = est.set(est.validationTol, float(tolerance))
+        est.set(est.validationTol, float(tolerance))
     return fit_pipeline(df, features, est)
 
 
@@ -144,4 +144,7 @@ def fit_tree(
         maxBins=64,
         seed=seed,
     )
+    if min_samples_leaf == 1:  # the least leaf size counts rows, not weights
+        df, _ = fold_rows(df, features, label)
+        est = est.setWeightCol(WEIGHT)
     return fit_pipeline(df, features, est)

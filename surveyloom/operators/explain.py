@@ -363,23 +363,22 @@ def lime_explain(
     def lookup(values: Sequence[float], at: Column) -> Column:
         return F.get(F.array(*[F.lit(float(v)) for v in values]), at)
 
+    first = F.col("_draw") == 0  # the row itself
+    drawn, placed = {}, {}
     for i, c in enumerate(features):
         b = bins[c]
-        u = uniform(seed * 1000 + 3 * i, F.col(key), F.col("_draw"))
-        drawn = F.lit(0)
+        u, u1, u2 = (uniform(seed * 1000 + 3 * i + j, F.col(key), F.col("_draw")) for j in range(3))
+        at = F.lit(0)
         for edge in np.cumsum(b.share)[:-1]:
-            drawn = drawn + F.when(u > F.lit(float(edge)), 1).otherwise(0)
-        u1 = uniform(seed * 1000 + 3 * i + 1, F.col(key), F.col("_draw"))
-        u2 = uniform(seed * 1000 + 3 * i + 2, F.col(key), F.col("_draw"))
+            at = at + F.when(u > F.lit(float(edge)), 1).otherwise(0)
         normal = F.sqrt(-2 * F.ln(u1)) * F.cos(u2 * (2 * math.pi))
-        grid = grid.withColumn(f"_own{i}", b.number(F.col(c).cast("double"))).withColumn(f"_bin{i}", drawn)
+        drawn |= {f"_own{i}": b.number(F.col(c).cast("double")), f"_bin{i}": at, f"_z{i}": normal}
         at = F.col(f"_bin{i}")
         mean, std, low, high = (lookup([s[j] for s in b.stats], at) for j in range(4))
-        value = F.least(F.greatest(mean + std * normal, low), high)
-        first = F.col("_draw") == 0  # the row itself
-        grid = grid.withColumn(f"_same{i}", F.when(first | (at == F.col(f"_own{i}")), 1.0).otherwise(0.0)).withColumn(
-            f"_x{i}", F.when(first, F.col(c).cast("double")).otherwise(value)
-        )
+        value = F.least(F.greatest(mean + std * F.col(f"_z{i}"), low), high)
+        placed[f"_same{i}"] = F.when(first | (at == F.col(f"_own{i}")), 1.0).otherwise(0.0)
+        placed[f"_x{i}"] = F.when(first, F.col(c).cast("double")).otherwise(value)
+    grid = grid.withColumns(drawn).withColumns(placed)
     sample = grid.select(
         F.col(key).alias("_key"), "_draw", *[F.col(f"_x{i}").alias(c) for i, c in enumerate(features)],
         *[f"_same{i}" for i in range(d)],
@@ -387,10 +386,10 @@ def lime_explain(
     scored = model.predict(sample)
     same = [F.col(f"_same{i}") for i in range(d)]
     off = sum((1 - s for s in same), F.lit(0.0))
-    w = F.sqrt(F.exp(-off / (width * width)))
+    scored = scored.withColumn("_w", F.sqrt(F.exp(-off / (width * width))))
     base = [F.lit(1.0), *same]
-    products = [F.sum(w * base[i] * base[j]) for i in range(d + 1) for j in range(i, d + 1)]
-    targets = [F.sum(w * base[i] * F.col("probability")) for i in range(d + 1)]
+    products = [F.sum(F.col("_w") * base[i] * base[j]) for i in range(d + 1) for j in range(i, d + 1)]
+    targets = [F.sum(F.col("_w") * base[i] * F.col("probability")) for i in range(d + 1)]
     sums = scored.groupBy("_key").agg(F.array(*products).alias("xx"), F.array(*targets).alias("xy"))
 
     @F.pandas_udf("array<double>")

@@ -5,14 +5,15 @@ Each report reads the table once for all columns; per-column loops only build ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.scalars import percent
-from surveyloom.operators.rank import prefix_totals, value_ranks
+from surveyloom.operators.rank import SMALL, value_ranks
 from surveyloom.schema import numeric_names
 
 
@@ -57,40 +58,114 @@ def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type:
     return typed.unpivot(list(keep), list(cols), "feature", "value")
 
 
-def grouped_quantiles(long: DataFrame, probs: Sequence[float], group: str = "feature", value: str = "value") -> DataFrame:
+def _per_group(group: str, values: dict) -> Column:
+    """The constant that belongs to the row's group."""
+    first, *rest = values.items()
+    out = F.when(F.col(group) == F.lit(first[0]), F.lit(first[1]))
+    for g, v in rest:
+        out = out.when(F.col(group) == F.lit(g), F.lit(v))
+    return out
+
+
+def grouped_quantiles(
+    long: DataFrame,
+    probs: Sequence[float],
+    group: str = "feature",
+    value: str = "value",
+    limit: int = SMALL,
+    accuracy: int = 10_000,
+) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: (group, prob, quantile).
 
-    Works on counted distinct values and their running counts; only the rows next to a wanted
-    position are kept, so no group is ever gathered in one buffer.
+    Approximate quantiles bracket each wanted position; one pass counts the rows below and inside every
+    bracket, and a bracket with more than ``limit`` rows is narrowed again. Only the few rows inside
+    the brackets are then counted per value and ordered; the table itself is never shuffled or sorted.
+    Each round brings back a few numbers per group and quantile.
     """
-    counted = long.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    summed, sizes = prefix_totals(counted, value, ["_n"], group)
-    # One entry per group, looked up rather than joined: a join on so few keys would pile up on them.
-    totals = F.create_map(*[F.lit(x) for pair in (sizes or {"": 0}).items() for x in pair])
-    low, high = F.floor("_at"), F.ceil("_at")
-    first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
-    wanted = F.transform(
-        F.array(*[F.lit(float(p)) for p in probs]),
-        lambda p: F.struct(p.alias("prob"), ((F.col("_total") - 1) * p).alias("_at")),
-    )
-    covered = F.filter(wanted, lambda w: (first <= F.ceil(w["_at"])) & (last >= F.floor(w["_at"])))
-    hits = (
-        summed.withColumn("_total", F.try_element_at(totals, F.col(group)))
-        .withColumn("_w", covered)
-        .where(F.size("_w") > 0)
-        .select(group, F.col(value).alias("_v"), first.alias("_f"), last.alias("_l"), F.explode("_w").alias("_w"))
-        .select(group, "_v", "_f", "_l", "_w.prob", "_w._at")
+    rows = long.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    gap = 2.0 / accuracy
+    around = [q for p in probs for q in (max(0.0, p - gap), min(1.0, p + gap))]
+    found = (
+        rows.groupBy("_g")
+        .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.percentile_approx("_v", around, accuracy).alias("e"))
+        .collect()
     )
-    lo = F.max(F.when((F.col("_f") <= low) & (F.col("_l") >= low), F.col("_v")))
-    hi = F.max(F.when((F.col("_f") <= high) & (F.col("_l") >= high), F.col("_v")))
-    return (
-        hits.groupBy(group, "prob", "_at")
-        .agg(lo.alias("_lo"), hi.alias("_hi"))
-        .select(
-            group, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - low)).alias("quantile")
+    if not found:
+        return long.sparkSession.createDataFrame([], f"{group} string, prob double, quantile double")
+    # Per wanted quantile: each group's position, bracket, and rows below the bracket.
+    at = [{r["_g"]: (r["n"] - 1) * p for r in found} for p in probs]
+    whole = {r["_g"]: (r["lo"], r["hi"]) for r in found}
+    tight = sum(r["n"] for r in found) > limit
+    bracket = [{r["_g"]: (r["e"][2 * j], r["e"][2 * j + 1]) if tight else whole[r["_g"]] for r in found} for j in range(len(probs))]
+    below = [dict.fromkeys(whole, 0) for _ in probs]
+
+    def ends(j: int) -> tuple[Column, Column]:
+        return (
+            _per_group("_g", {g: x[0] for g, x in bracket[j].items()}),
+            _per_group("_g", {g: x[1] for g, x in bracket[j].items()}),
         )
+
+    while tight:
+        tight = False
+        counts = []
+        for j in range(len(probs)):
+            low, high = ends(j)
+            counts += [F.count_if(F.col("_v") < low).alias(f"b{j}"), F.count_if(F.col("_v").between(low, high)).alias(f"i{j}")]
+        narrower: dict[int, dict] = {}
+        for r in rows.groupBy("_g").agg(*counts).collect():
+            g = r["_g"]
+            for j in range(len(probs)):
+                under, inside = r[f"b{j}"], r[f"i{j}"]
+                low, high = bracket[j][g]
+                if under > math.floor(at[j][g]) or under + inside <= math.ceil(at[j][g]):
+                    bracket[j][g], below[j][g], tight = whole[g], 0, True  # missed: start over from the whole range
+                    continue
+                below[j][g] = under
+                if inside > limit and low < high:
+                    narrower.setdefault(j, {})[g] = (at[j][g] - under) / (inside - 1)
+        if narrower:
+            finer = []
+            for j, goals in narrower.items():
+                low, high = ends(j)
+                near = {g: [max(0.0, p - gap), min(1.0, p + gap)] for g, p in goals.items()}
+                v = F.when(F.col("_v").between(low, high), F.col("_v"))
+                finer += [F.percentile_approx(v, near[g], accuracy).alias(f"{j}|{g}") for g in near]
+            wide = rows.groupBy("_g").agg(*finer).collect()
+            for r in wide:
+                for j, goals in narrower.items():
+                    g = r["_g"]
+                    if g in goals and tuple(r[f"{j}|{g}"]) != bracket[j][g]:
+                        bracket[j][g], tight = tuple(r[f"{j}|{g}"]), True
+    places, near_any = [], F.lit(False)
+    for j, p in enumerate(probs):
+        low, high = ends(j)
+        near_any = near_any | F.col("_v").between(low, high)
+        places.append(
+            F.when(
+                F.col("_v").between(low, high),
+                F.struct(F.lit(float(p)).alias("prob"), _per_group("_g", at[j]).alias("at"), _per_group("_g", below[j]).alias("below")),
+            )
+        )
+    inside = Window.partitionBy("_g", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        rows.where(near_any)
+        .select("_g", "_v", F.explode(F.array(*places)).alias("w"))
+        .where(F.col("w").isNotNull())
+        .groupBy("_g", "w.prob", "w.at", "w.below", "_v")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_f", F.col("below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .withColumn("_l", F.col("_f") + F.col("_n") - 1)
     )
 
+    def at_position(where: Column) -> Column:
+        return F.max(F.when((F.col("_f") <= where) & (F.col("_l") >= where), F.col("_v")))
+
+    picked = counted.groupBy(F.col("_g").alias(group), "prob", "at").agg(
+        at_position(F.floor("at")).alias("lo"), at_position(F.ceil("at")).alias("hi")
+    )
+    between = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
+    return picked.select(group, "prob", between.alias("quantile"))
+
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles and max, one row per numeric column.
@@ -186,7 +261,7 @@ def crosstab(df: DataFrame, row: str, col: str, names: dict) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of every ordered column pair: (feature_x, feature_y, rho).
 
-    Rows that agree in all the columns are folded to one counted row, ranks come from the distinct
+    Where at most half of the rows differ, equal ones are folded to one counted row. Ranks come from the distinct
     values of all columns together, and the sums over the counted rows give the coefficients.
     Ranks are centred before they are multiplied, to keep digits on large tables. Pairs use the
     rows where both values are present; a column with one distinct value gives null.
@@ -194,12 +269,16 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = list(cols or numeric_names(df))
     if len(cols) < 2:
         raise ValueError("need two numeric columns")
-    folded = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]).groupBy(*cols).agg(F.count("*").alias("_c"))
-    )
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    counts = [F.count(F.col(c)).alias(c) for c in cols]
+    distinct = F.approx_count_distinct(F.xxhash64(*cols))
+    sizes = typed.agg(F.count("*").alias("_all"), distinct.alias("_distinct"), *counts).first()
+    if 2 * sizes["_distinct"] <= sizes["_all"]:
+        folded = typed.groupBy(*cols).agg(F.count("*").alias("_c"))
+    else:
+        folded = typed.withColumn("_c", F.lit(1).cast("long"))
     long = _long(df, cols)
     ranks = value_ranks(long, "value", "feature")
-    sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
     ranked = folded
     for i, c in enumerate(cols):
         one = ranks.where(F.col("feature") == c).select(

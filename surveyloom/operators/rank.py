@@ -1,8 +1,8 @@
 """Global ranks without a global sort in one task.
 
 Rows that share a value are folded first, so a value held by a third of the table is one row from
-then on. The distinct values are cut into ordered buckets, each bucket's total becomes an offset,
-and only the ordering inside a bucket needs a window.
+then on. The distinct values are stored and cut into ordered buckets, each bucket's total becomes an
+offset, and only the ordering inside a bucket needs a window.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.hashing import key_hash
+from surveyloom.session import materialize
 
 COARSE = 128
 FINE = 64
@@ -21,19 +22,37 @@ _ACCURACY = 2000
 SMALL = 100_000
 
 
-def _bucket(value: Column, edges: Column) -> Column:
-    """Order-preserving bucket number: quantile interval first, then equal steps inside it.
+def edge_probs() -> list[float]:
+    return [i / COARSE for i in range(COARSE + 1)]
 
-    Equal values always fall in one bucket; how even the buckets are affects speed only.
+
+def with_bucket(df: DataFrame, value: str, edges: dict, group: str, out: str = "_b") -> DataFrame:
+    """Add an order-preserving bucket number: the quantile interval of the value, then equal steps inside it.
+
+    ``edges`` holds COARSE + 1 ascending quantiles per group. The interval is found by binary search,
+    written as one fold over the step sizes so that the plan holds the expression once. Equal values
+    always fall in one bucket; how even the buckets are affects speed only.
     """
-    coarse = F.size(F.filter(edges, lambda e: e < value))
-    low = F.try_element_at(edges, coarse)
-    high = F.try_element_at(edges, coarse + 1)
-    step = F.try_divide(value - low, high - low) * FINE
-    fine = F.when(coarse == 0, F.lit(0)).otherwise(
-        F.least(F.lit(FINE - 1), F.coalesce(F.nanvl(step, F.lit(0.0)), F.lit(0.0)).cast("int"))
-    )
-    return coarse * FINE + fine
+    v = F.col(value)
+    steps = F.array(*[F.lit(COARSE >> k) for k in range(1, COARSE.bit_length())])
+
+    def number(e: Column, i: Column) -> Column:
+        low, high = F.get(e, i), F.get(e, i + 1)
+        inside = F.nanvl(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)), F.lit(0.0))
+        step = F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * FINE
+        return i * FINE + F.least(F.lit(FINE - 1), step.cast("int"))
+
+    def search(e: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda i, s: i + F.when(F.get(e, i + s) < v, s).otherwise(0),
+            lambda i: number(e, i),
+        )
+
+    pairs = [x for g, e in edges.items() for x in (F.lit(g), F.lit(e))]
+    own = F.try_element_at(F.create_map(*pairs), F.col(group))
+    return df.withColumn(out, F.get(F.transform(F.array(own), search), F.lit(0)))
 
 
 def prefix_sums(
@@ -53,12 +72,12 @@ def prefix_totals(
     rows in all is then ordered directly; a larger one by buckets. Also returns each group's total of
     the first sum.
     """
+    table = materialize(table, "ordered", spread=True)
     g = F.lit(0) if group is None else F.col(group)
     t = table.withColumn("_g", g).withColumn("_v", F.col(order).cast("double"))
-    probs = [i / COARSE for i in range(COARSE + 1)]
     found = (
         t.groupBy("_g")
-        .agg(F.count("*").alias("n"), F.sum(sums[0]).alias("s"), F.percentile_approx("_v", probs, _ACCURACY).alias("e"))
+        .agg(F.count("*").alias("n"), F.sum(sums[0]).alias("s"), F.percentile_approx("_v", edge_probs(), _ACCURACY).alias("e"))
         .collect()
     )
     grand = {r["_g"]: r["s"] for r in found}
@@ -69,10 +88,7 @@ def prefix_totals(
         for c in sums:
             out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(whole), F.lit(0)))
         return out.select(*table.columns, *[f"{c}_before" for c in sums]), grand
-    pairs = [x for r in found for x in (F.lit(r["_g"]), F.lit(r["e"]))]
-    b = t.withColumn("_e", F.try_element_at(F.create_map(*pairs), F.col("_g"))).withColumn(
-        "_b", _bucket(F.col("_v"), F.col("_e"))
-    )
+    b = materialize(with_bucket(t, "_v", {r["_g"]: r["e"] for r in found}, "_g"), "bucketed")
     # At most COARSE * FINE + 1 rows per group.
     totals = b.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(*before)
@@ -106,9 +122,9 @@ def bucket_rank(
 
 
 def key_positions(df: DataFrame, key: str, out: str = "position") -> DataFrame:
-    """Zero-based position of every row in key order; the numeric key must be unique."""
-    keyed = df.withColumn("_one", F.lit(1).cast("long"))
-    return prefix_sums(keyed, key, ["_one"]).withColumnRenamed("_one_before", out).drop("_one")
+    """(key, position): the zero-based place of every row in key order; the numeric key must be unique."""
+    keyed = df.select(key, F.lit(1).cast("long").alias("_one"))
+    return prefix_sums(keyed, key, ["_one"]).select(key, F.col("_one_before").alias(out))
 
 
 def hash_cuts(df: DataFrame, key: str, seed: int, ranks, group: str | None = None, width: int = 3) -> dict:
@@ -156,14 +172,13 @@ def hash_cuts(df: DataFrame, key: str, seed: int, ranks, group: str | None = Non
                 later.append((k, i, r, p, seen))
         if not later:
             break
-        if depth >= 32:
+        if depth + width > 32:
             raise ValueError(f"{key} is not unique: equal keys cannot be split")
-        depth = min(32, depth + width)
+        depth += width
         open_at = {(k, p) for k, _, _, p, _ in later}
-        where = F.lit(False)
-        for k, p in open_at:
-            where = where | ((F.col("_g") == F.lit(k)) & F.col("_h").startswith(p))
-        finer = count(depth, where)
+        # One text per row, so that the hash is computed once per row.
+        mark = F.concat_ws(":", F.substring("_h", 1, depth - width), F.col("_g").cast("string"))
+        finer = count(depth, mark.isin([f"{p}:{k}" for k, p in open_at]))
         counts = {(k, p): [x for x in finer[k] if x[0].startswith(p)] for k, p in open_at}
         todo = later
     return cuts

@@ -36,9 +36,9 @@ def sample_range(df: DataFrame, key: str, start: int, span: int, n: int = 5, see
     """
     if n > span + 1:
         raise ValueError("more rows asked for than positions in the range")
-    placed = key_positions(df, key)
-    window = placed.where(F.col("position").between(start, start + span))
-    return window.orderBy(key_hash("position", seed)).limit(n).orderBy("position")
+    window = key_positions(df, key).where(F.col("position").between(start, start + span))
+    picked = window.orderBy(key_hash("position", seed)).limit(n)
+    return df.join(picked, key).orderBy("position")
 
 
 def rows_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -81,9 +81,9 @@ def three_way_split(
         return {0: [m, m + math.ceil((n - m) * val_size)]}
 
     test_cut, val_cut = hash_cuts(df, key, seed, ranks)[0]
-    h = key_hash(key, seed)
+    h = F.col("_h")
     split = F.when(h <= F.lit(test_cut), "test").when(h <= F.lit(val_cut), "val").otherwise("train")
-    return df.withColumn(out, split)
+    return df.withColumn("_h", key_hash(key, seed)).withColumn(out, split).drop("_h")
 
 
 def stratified_kfold(
@@ -98,14 +98,14 @@ def stratified_kfold(
         return {c: [j * (n // k) + min(j, n % k) for j in range(1, k)] for c, n in totals.items()}
 
     cuts = hash_cuts(df, key, seed, ranks, group=label)
-    h = key_hash(key, seed)
+    h = F.col("_h")
     folds = {}
     for c, edges in cuts.items():
         fold = F.lit(0)
         for e in edges:
             fold = fold + F.when(h > F.lit(e), 1).otherwise(0)
         folds[c] = fold
-    return df.withColumn(out, _by_group(label, folds).cast("int"))
+    return df.withColumn("_h", key_hash(key, seed)).withColumn(out, _by_group(label, folds).cast("int")).drop("_h")
 
 
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:

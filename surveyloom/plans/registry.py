@@ -13,7 +13,7 @@ from surveyloom.operators.classifiers import bayes, boosted_stumps, linear, neig
 from surveyloom.operators.spaces import FAMILIES, Choice, Family, Real, Whole
 from surveyloom.plans.cases import cases, digits, gapped_cases, table
 from surveyloom.schema import CASE_SCHEMA, CATEGORIES, FEATURES, KEY, LABEL
-from surveyloom.session import fresh_path
+from surveyloom.session import fresh_path, materialize
 from surveyloom.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,6 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Training and test rows; the marked table is written once, as every learner reads it many times."""
-    from surveyloom.session import materialize
-
     marked = materialize(splits.train_test_split(cases(spark, sf), KEY), "cases")
     return marked.where(F.col("split") == "train").drop("split"), marked.where(F.col("split") == "test").drop("split")
 

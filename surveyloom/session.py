@@ -30,11 +30,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
-    The lineage is cut and the rows outlive any executor; used before loops that scan one frame often.
+    The lineage is cut and the rows outlive any executor; used for tables that are read several times.
+    ``spread`` deals a table that fills fewer files than there are cores over all cores, for readers
+    that do much work per row.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and stored.rdd.getNumPartitions() < cores:
+        return stored.repartition(cores)
+    return stored
