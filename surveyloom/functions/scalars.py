@@ -22,7 +22,7 @@ def percent(num: Column, den: Column) -> Column:
 
 def percent_text(share: Column) -> Column:
     """A share of 1 as text with one decimal, e.g. 0.125 -> '12.5%'."""
-    return F.concat(F.format_number(share * 100, "0.0"), F.lit("%"))
+    return F.concat(F.format_number(share * 100, 1), F.lit("%"))
 
 
 def label_name(value: Column, names: Mapping[int, str]) -> Column:
