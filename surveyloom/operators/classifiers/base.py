@@ -77,6 +77,7 @@ class PipelineClassifier:
     features: list[str]
     pipeline: PipelineModel
     scaler: Scaler | None = None
+    saved: str | None = None  # folder of the saved last stage, once something has asked for its table
 
     @property
     def stage(self) -> Transformer:

@@ -27,9 +27,10 @@ def tree_nodes(model: PipelineClassifier) -> DataFrame:
     """
     stage = model.stage
     spark = SparkSession.active()
-    path = fresh_path(spark, "model")
-    stage.save(path)
-    saved = spark.read.parquet(f"{path}/data")
+    if model.saved is None:
+        model.saved = fresh_path(spark, "model")
+        stage.save(model.saved)
+    saved = spark.read.parquet(f"{model.saved}/data")
     if "nodeData" in saved.columns:
         saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
     else:
@@ -353,7 +354,6 @@ def lime_explain(
     keep = [key, *features]
     grid = (
         rows.select(*keep)
-        .repartition(key)
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
         .repartition(key, "_part")
         .withColumn("_draw", F.explode(F.sequence("_part", F.lit(max(63, n_samples - 1)), F.lit(64))))

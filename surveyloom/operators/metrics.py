@@ -81,28 +81,24 @@ def class_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class; ``totals=True`` adds the macro and weighted averages."""
     tp, fp, fn, tn = _counts()
+    fields = ("class_name", "precision", "recall", "f1", "support")
 
-    def one(code: int, hit: Column, wrong: Column, missed: Column) -> Column:
-        return F.struct(
-            label_name(F.lit(code), names or {}).alias("class_name"),
-            ratio(hit, hit + wrong).alias("precision"),
-            ratio(hit, hit + missed).alias("recall"),
-            ratio(2 * hit, 2 * hit + wrong + missed).alias("f1"),
-            (hit + missed).alias("support"),
-        )
-
-    per_class = confusion_counts(df, label, pred).select(
-        F.inline(F.array(one(0, tn, fn, fp), one(1, tp, fp, fn)))
-    )
-    if not totals:
-        return per_class
-    measures = ("precision", "recall", "f1")
-    n = F.sum("support")
-    macro = [F.avg(m).alias(m) for m in measures]
-    weighted = [ratio(F.sum(F.col(m) * F.col("support")), n).alias(m) for m in measures]
-    macro_row = per_class.agg(*macro, n.alias("support")).select(F.lit("macro avg").alias("class_name"), "*")
-    weighted_row = per_class.agg(*weighted, n.alias("support")).select(F.lit("weighted avg").alias("class_name"), "*")
-    return per_class.unionByName(macro_row).unionByName(weighted_row)
+    def row(*values: Column) -> Column:
+        return F.struct(*[v.alias(c) for v, c in zip(values, fields)])
+
+    def measures(hit: Column, wrong: Column, missed: Column) -> list[Column]:
+        return [ratio(hit, hit + wrong), ratio(hit, hit + missed), ratio(2 * hit, 2 * hit + wrong + missed)]
+
+    negative, positive = measures(tn, fn, fp), measures(tp, fp, fn)
+    n0, n1 = tn + fp, tp + fn
+    rows = [
+        row(label_name(F.lit(c), names or {}), *m, n) for c, m, n in ((0, negative, n0), (1, positive, n1))
+    ]
+    if totals:
+        macro = [(a + b) / 2 for a, b in zip(negative, positive)]
+        weighted = [ratio(a * n0 + b * n1, n0 + n1) for a, b in zip(negative, positive)]
+        rows += [row(F.lit("macro avg"), *macro, n0 + n1), row(F.lit("weighted avg"), *weighted, n0 + n1)]
+    return confusion_counts(df, label, pred).select(F.inline(F.array(*rows)))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -58,6 +58,10 @@ def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type:
     return typed.unpivot(list(keep), list(cols), "feature", "value")
 
 
+# Highest accuracy asked of an approximate quantile.
+SHARPEST = 10_000_000
+
+
 def _per_group(group: str, values: dict) -> Column:
     """The constant that belongs to the row's group."""
     first, *rest = values.items()
@@ -105,37 +109,43 @@ def grouped_quantiles(
             _per_group("_g", {g: x[1] for g, x in bracket[j].items()}),
         )
 
+    # The last bracket known to hold its position, as (ends, rows below, rows inside), and the accuracy to
+    # narrow it with. Every round shrinks a bracket or raises its accuracy, so the rounds end.
+    good = [{r["_g"]: (whole[r["_g"]], 0, r["n"]) for r in found} for _ in probs]
+    sharp = [dict.fromkeys(whole, accuracy) for _ in probs]
     while tight:
-        tight = False
         counts = []
         for j in range(len(probs)):
             low, high = ends(j)
             counts += [F.count_if(F.col("_v") < low).alias(f"b{j}"), F.count_if(F.col("_v").between(low, high)).alias(f"i{j}")]
-        narrower: dict[int, dict] = {}
+        wide = []
         for r in rows.groupBy("_g").agg(*counts).collect():
             g = r["_g"]
             for j in range(len(probs)):
                 under, inside = r[f"b{j}"], r[f"i{j}"]
+                if under <= math.floor(at[j][g]) and under + inside > math.ceil(at[j][g]):
+                    good[j][g] = (bracket[j][g], under, inside)
+                else:
+                    sharp[j][g] *= 10
+                bracket[j][g], below[j][g], inside = good[j][g]
                 low, high = bracket[j][g]
-                if under > math.floor(at[j][g]) or under + inside <= math.ceil(at[j][g]):
-                    bracket[j][g], below[j][g], tight = whole[g], 0, True  # missed: start over from the whole range
-                    continue
-                below[j][g] = under
-                if inside > limit and low < high:
-                    narrower.setdefault(j, {})[g] = (at[j][g] - under) / (inside - 1)
-        if narrower:
-            finer = []
-            for j, goals in narrower.items():
-                low, high = ends(j)
-                near = {g: [max(0.0, p - gap), min(1.0, p + gap)] for g, p in goals.items()}
-                v = F.when(F.col("_v").between(low, high), F.col("_v"))
-                finer += [F.percentile_approx(v, near[g], accuracy).alias(f"{j}|{g}") for g in near]
-            wide = rows.groupBy("_g").agg(*finer).collect()
-            for r in wide:
-                for j, goals in narrower.items():
-                    g = r["_g"]
-                    if g in goals and tuple(r[f"{j}|{g}"]) != bracket[j][g]:
-                        bracket[j][g], tight = tuple(r[f"{j}|{g}"]), True
+                if inside > limit and low < high and sharp[j][g] <= SHARPEST:
+                    wide.append((j, g, (at[j][g] - below[j][g]) / (inside - 1)))
+        tight = bool(wide)
+        if not wide:
+            break
+        finer = []
+        for i, (j, g, p) in enumerate(wide):
+            low, high = bracket[j][g]
+            gap = 2.0 / sharp[j][g]
+            v = F.when((F.col("_g") == F.lit(g)) & F.col("_v").between(low, high), F.col("_v"))
+            finer.append(F.percentile_approx(v, [max(0.0, p - gap), min(1.0, p + gap)], sharp[j][g]).alias(f"n{i}"))
+        found_ends = rows.agg(*finer).first()
+        for i, (j, g, _) in enumerate(wide):
+            if tuple(found_ends[f"n{i}"]) == bracket[j][g]:
+                sharp[j][g] *= 10
+            else:
+                bracket[j][g] = tuple(found_ends[f"n{i}"])
     places, near_any = [], F.lit(False)
     for j, p in enumerate(probs):
         low, high = ends(j)

@@ -17,6 +17,7 @@ from surveyloom.session import materialize
 
 COARSE = 128
 FINE = 64
+BUCKET_ROWS = 1_000_000
 _ACCURACY = 2000
 # Rows that one task may order; the bucketed way takes over above it.
 SMALL = 100_000
@@ -26,8 +27,8 @@ def edge_probs() -> list[float]:
     return [i / COARSE for i in range(COARSE + 1)]
 
 
-def with_bucket(df: DataFrame, value: str, edges: dict, group: str, out: str = "_b") -> DataFrame:
-    """Add an order-preserving bucket number: the quantile interval of the value, then equal steps inside it.
+def with_bucket(df: DataFrame, value: str, edges: dict, group: str, fine: int, out: str = "_b") -> DataFrame:
+    """Add an order-preserving bucket number: the quantile interval of the value, then ``fine`` equal steps inside it.
 
     ``edges`` holds COARSE + 1 ascending quantiles per group. The interval is found by binary search,
     written as one fold over the step sizes so that the plan holds the expression once. Equal values
@@ -39,8 +40,8 @@ def with_bucket(df: DataFrame, value: str, edges: dict, group: str, out: str = "
     def number(e: Column, i: Column) -> Column:
         low, high = F.get(e, i), F.get(e, i + 1)
         inside = F.nanvl(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)), F.lit(0.0))
-        step = F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * FINE
-        return i * FINE + F.least(F.lit(FINE - 1), step.cast("int"))
+        step = F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * fine
+        return i * fine + F.least(F.lit(fine - 1), step.cast("int"))
 
     def search(e: Column) -> Column:
         return F.aggregate(
@@ -88,8 +89,10 @@ def prefix_totals(
         for c in sums:
             out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(whole), F.lit(0)))
         return out.select(*table.columns, *[f"{c}_before" for c in sums]), grand
-    b = materialize(with_bucket(t, "_v", {r["_g"]: r["e"] for r in found}, "_g"), "bucketed")
-    # At most COARSE * FINE + 1 rows per group.
+    # About BUCKET_ROWS rows per bucket in the largest group.
+    fine = max(FINE, -(-max(r["n"] for r in found) // (COARSE * BUCKET_ROWS)))
+    b = materialize(with_bucket(t, "_v", {r["_g"]: r["e"] for r in found}, "_g", fine), "bucketed")
+    # At most COARSE * fine rows per group.
     totals = b.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(*before)
     offsets = totals.select(
