@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import line_dedup, quality_rules, url_rules
+from surveyloom.llm import line_dedup, packing, quality_rules, token_files, url_rules
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,4 +33,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_url_filters, op5_quality_rules)}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_files.read_digests(token_files.write_tokens(docs, public_tokenizers.path(TOKENIZER), end_id=1))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op5_quality_rules, op10_best_fit_packing)
+}
