@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import line_dedup, packing, quality_rules, token_files, url_rules
+from surveyloom.llm import line_dedup, packing, quality_rules, token_files, url_rules, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,11 +38,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_tokens(docs, public_tokenizers.path(TOKENIZER), end_id=1))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
+    out = warc.read_archives(manifest, keep_payload=False).withColumnRenamed("id", "page_id")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
 
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op5_quality_rules, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op5_quality_rules, op7_warc, op10_best_fit_packing)
 }
