@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import line_dedup, packing, quality_rules, token_files, url_rules, warc
+from surveyloom.llm import decontaminate, line_dedup, packing, quality_rules, token_files, url_rules, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "matched")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -50,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op5_quality_rules, op7_warc, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op10_best_fit_packing)
 }
