@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, line_dedup, packing, quality_rules, token_files, url_rules, warc
+from surveyloom.llm import decontaminate, line_dedup, packing, quality_rules, token_files, toxicity, url_rules, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -48,11 +48,23 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
 
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op8_toxicity, op10_best_fit_packing)
 }
