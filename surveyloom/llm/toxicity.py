@@ -139,8 +139,13 @@ def _present(ratios: dict[str, float]):
     return run
 
 
-def fit_ridge_logistic(held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent; ``held`` lists the present features of each row. Returns weights per feature and intercept."""
+def fit_ridge_logistic(
+    held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float, steps: int, lift: float = 1.0
+) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent. Returns weights per feature and intercept.
+
+    ``held`` lists the present features of each row; rows of label 1 weigh ``lift`` times as much as the others.
+    """
     sizes = np.array([len(h) for h in held])
     cols = np.concatenate([*held, np.empty(0, np.int64)]).astype(np.int64)
     rows = np.repeat(np.arange(len(held)), sizes)
@@ -158,11 +163,13 @@ def fit_ridge_logistic(held: list[np.ndarray], labels: np.ndarray, ratios: np.nd
         probe = back(times(probe))
         size = np.linalg.norm(probe) or 1.0
         probe /= size
-    step = 1.0 / (0.25 * (size + n) / n + penalty)
+    mass = np.where(labels > 0, lift, 1.0)
+    mass /= mass.sum()
+    step = 1.0 / (0.25 * (size + n) * mass.max() + penalty)
     w = v = np.zeros(width)
-    b = u = float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
+    b = u = float(np.log((lift * labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
     for k in range(steps):
-        error = (_logistic(times(v) + u) - labels) / n
+        error = (_logistic(times(v) + u) - labels) * mass
         w_next, b_next = v - step * (back(error) + penalty * v), u - step * error.sum()
         pull = k / (k + 3)
         v, u = w_next + pull * (w_next - w), b_next + pull * (b_next - b)
@@ -179,8 +186,9 @@ def fit(
     max_rows: int = 8_000,
     features: int = 3_000,
     min_docs: int = 5,
-    penalty: float = 1e-4,
-    steps: int = 400,
+    penalty: float = 1e-3,
+    steps: int = 600,
+    lift: float = 5.0,
 ) -> Model:
     """Fit to the labelled documents; leave those out that must not teach."""
     require_columns(docs, id_col, text_col)
@@ -194,7 +202,7 @@ def fit(
     ratios = n_gram_ratios(rows, features, min_docs)
     seen = rows.mapInArrow(_present(ratios), "held array<int>, label int").collect()  # at most max_rows rows of at most ``features`` numbers
     held = [np.array(r["held"], np.int64) for r in seen]
-    weights, intercept = fit_ridge_logistic(held, np.array([r["label"] for r in seen], float), np.array(list(ratios.values())), penalty, steps)
+    weights, intercept = fit_ridge_logistic(held, np.array([r["label"] for r in seen], float), np.array(list(ratios.values())), penalty, steps, lift)
     return Model(dict(zip(ratios, weights.tolist(), strict=True)), float(intercept))
 
 
