@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, line_dedup, packing, quality_rules, token_files, toxicity, url_rules, warc
+from surveyloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity, url_rules, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,11 +60,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
 
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op8_toxicity, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op8_toxicity, op9_minhash_near_dedup, op10_best_fit_packing)
 }
