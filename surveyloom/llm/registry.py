@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity, url_rules, warc
+from surveyloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_files, toxicity, url_rules, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_tokens(docs, public_tokenizers.path(TOKENIZER), end_id=1))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
     out = warc.read_archives(manifest, keep_payload=False).withColumnRenamed("id", "page_id")
@@ -70,5 +75,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op7_warc, op8_toxicity, op9_minhash_near_dedup, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_toxicity, op9_minhash_near_dedup, op10_best_fit_packing)
 }
