@@ -65,12 +65,12 @@ def dedup_lines(
     removed_col: str = "n_removed",
 ) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and two more columns (replacing any of the same name)."""
-    digest, starts = spare_names(docs, "row_digest", "window_starts")
+    digest, starts, hit_doc, hit_digest, done = spare_names(docs, "row_digest", "window_starts", "hit_doc", "hit_digest", "line_result")
     hits = repeated_windows(docs, id_col, text_col, width).select(
-        F.col("doc").alias("hit_doc"), F.col("digest").alias("hit_digest"), F.col("lines").alias(starts)
+        F.col("doc").alias(hit_doc), F.col("digest").alias(hit_digest), F.col("lines").alias(starts)
     )
     keyed = docs.withColumn(digest, row_digest(F.col(id_col), text_of(text_col)))
-    joined = keyed.join(hits, same(keyed, hits, [(id_col, "hit_doc"), (digest, "hit_digest")]), "left")
+    joined = keyed.join(hits, same(keyed, hits, [(id_col, hit_doc), (digest, hit_digest)]), "left")
     marked = F.array_distinct(
         F.flatten(F.transform(F.col(starts), lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: s + k)))
     )
@@ -86,7 +86,6 @@ def dedup_lines(
     whole = F.struct(
         text_of(text_col).alias("text"), F.size(_lines(text_of(text_col))).cast("long").alias("total"), F.lit(0).cast("long").alias("removed")
     )
-    [done] = spare_names(joined, "line_result")
     joined = joined.withColumn(done, F.when(F.col(starts).isNull(), whole).otherwise(let(_lines(text_of(text_col)), cut)))
     added = {text_col: F.col(f"{done}.text"), total_col: F.col(f"{done}.total"), removed_col: F.col(f"{done}.removed")}
     names = [c for c in docs.columns if c not in (total_col, removed_col)] + [total_col, removed_col]
