@@ -18,7 +18,9 @@ Texts travel twice: to the anchors in question (3) and to the stretches (4), and
 table of hash bits lets through. The table holds at most ``FILTER_ROWS`` rows; when it fills up, more texts travel.
 
 Texts are compared as UTF-8 bytes, by 64-bit hashes of seed and surroundings in step 2 and byte by byte in step 3. What stays may
-not be UTF-8, so it is returned as bytes. A task of step 3 holds the distinct surroundings of one seed.
+not be UTF-8, so it is returned as bytes. A task of step 3 holds at most the HOT_SEED distinct surroundings of one seed at once.
+A seed with more, such as one at the edge of a passage that very many documents share, is not given to one task: the
+WINDOW-byte strings around its anchors are grouped by 128 bits of hash instead, with partial minima before the shuffle.
 
 Cases: null texts are empty; texts under WINDOW bytes lose nothing. Null ids come first, as the least long. Rows that
 share an id are ordered by a hash of their text; rows equal in both are one document and get the same result. An empty table
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ WINDOW, SEED = 100, 32
 REACH = WINDOW - SEED
 SCAN_BYTES = 2 << 20
 CHUNK_ANCHORS = 40_000
+HOT_SEED = 50_000
 FILTER_ROWS = 1 << 21
 NO_ID = -(1 << 63)
 
@@ -251,6 +255,30 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stretches(held)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every WINDOW-byte string around each anchor, as a hash, with its distance s to the left."""
+    for batch in batches:
+        for doc, row, place, left, right in zip(*(batch.column(n).to_pylist() for n in ("doc", "row", "place", "left", "right")), strict=True):
+            around = left[::-1] + right
+            reach = range(max(0, WINDOW - len(right)), len(left) + 1)
+            whole = [xxhash.xxh3_128_intdigest(around[len(left) - s : len(left) - s + WINDOW]) for s in reach]
+            raw = np.frombuffer(b"".join([w.to_bytes(16, "little") for w in whole]), np.int64).reshape(-1, 2)
+            columns = [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array([doc] * len(raw), pa.int64())]
+            columns += [pa.array([v] * len(raw), pa.int32()) for v in (row, place)] + [pa.array(list(reach), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "doc", "row", "place", "s"])
+
+
+def _hot_stretches(around: DataFrame) -> DataFrame:
+    """The stretches of anchors of seeds with very many surroundings, by grouping their windows."""
+    windows = around.mapInArrow(_windows, "w1 long, w2 long, doc long, row int, place int, s int")
+    start = F.struct("doc", "row", (F.col("place") - F.col("s")).alias("start"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first < last")
+    firsts = firsts.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
+    later = windows.join(firsts, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(start > F.col("first"))
+    reach = later.groupBy("doc", "row", "place").agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    return reach.select("doc", "row", (F.col("place") - F.col("most")).alias("begin"), (F.col("place") + WINDOW - F.col("least")).alias("finish"))
+
+
 def _with_guess(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` with ``maybe``: whether (doc, row) may be among the keys, by 64 hash bits per line of at most FILTER_ROWS lines."""
     h = F.xxhash64(F.lit(41), "doc", "row")
@@ -298,17 +326,20 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     found = rows.where(F.octet_length("text") >= WINDOW).mapInArrow(_scan, _ANCHORS)
     judged = found.repartition("seed").sortWithinPartitions(*order).mapInArrow(_judge, _JUDGED)
     judged = materialize(judged, "suffix-anchors")
-    asked = (
-        judged.where(~F.col("known"))
-        .groupBy("doc", "row")
-        .agg(F.collect_list(F.struct("seed", "place")).alias("asked"))
-        .withColumnsRenamed({"doc": "ad", "row": "ar"})
-    )
-    texts = _with_guess(rows, judged.where(~F.col("known")).select("doc", "row")).where("maybe")
+    open_ = judged.where(~F.col("known"))
+    hot = open_.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEED).select(F.col("seed").alias("hot_seed"))
+    hot = materialize(hot, "suffix-hot")
+    asked = open_.groupBy("doc", "row").agg(F.collect_list(F.struct("seed", "place")).alias("asked"))
+    asked = asked.withColumnsRenamed({"doc": "ad", "row": "ar"})
+    texts = _with_guess(rows, open_.select("doc", "row")).where("maybe")
     texts = texts.join(asked, (F.col("doc") == F.col("ad")) & (F.col("row") == F.col("ar"))).select("doc", "row", "text", "asked")
     around = texts.mapInArrow(_surroundings, "seed long, doc long, row int, place int, left binary, right binary")
+    if not hot.isEmpty():
+        around = materialize(around.join(hot, F.col("seed") == F.col("hot_seed"), "left"), "suffix-around")
+        crowded = _hot_stretches(around.where("hot_seed is not null"))
+        around = around.where("hot_seed is null").drop("hot_seed")
     sorted_ = around.repartition("seed").sortWithinPartitions("seed", "doc", "row", "place").mapInArrow(_sort, _STRETCHES)
-    part = materialize(sorted_, "suffix-stretches")
+    part = materialize(sorted_ if hot.isEmpty() else sorted_.union(crowded), "suffix-stretches")
     whole = judged.where("known").select("doc", "row", "place", F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("finish"))
     both = whole.union(part.select("doc", "row", F.lit(None).cast("int").alias("place"), "begin", "finish"))
     lists = both.groupBy("doc", "row").agg(

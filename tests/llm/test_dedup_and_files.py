@@ -60,8 +60,9 @@ def _planted(seed, n):
     return [(k, "".join(draw.choice(parts)() for _ in range(draw.randint(0, 5)))) for k in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_bytes(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 50_000), (2, 3), (4, 0)])
+def test_repeated_bytes(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_SEED", hot)  # seeds of more surroundings are grouped by windows
     docs = _planted(seed, 150)
     rows = suffix_dedup.dedup_bytes(_clashing(spark.createDataFrame(docs, TEXTS)).repartition(5)).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in rows}
