@@ -23,13 +23,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that hang from two others, or from one that hangs from another itself."""
+    double = edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("a")
+    tops = edges.select(F.col("b").alias("top")).distinct()
+    return double.union(edges.join(tops, F.col("a") == F.col("top"), "left_semi").select("a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b): root is the least node of its component. Roots themselves are not listed."""
-    current = materialize(edges.select("a", "b").where("a != b").distinct(), "components")
-    before = None
+    current = edges.select("a", "b").where("a != b")
     while True:
         current = materialize(_small_star(_large_star(current)).distinct(), "components")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if _unsettled(current).isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state

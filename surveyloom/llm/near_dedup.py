@@ -5,10 +5,11 @@ documents in a table of fixed size, indexed by shingle hash. Texts of equal word
 agree in a band are candidates; a candidate pair is a link if its weighted Jaccard similarity is at least ``threshold``, and a
 class is a connected component of links.
 
-No bucket is expanded into pairs. Its nodes are compared with a leader first. Since 1 - similarity is a metric, a node that misses
-the leader by more than twice the allowed distance cannot be linked to any node that the leader takes; nearer misses are
-compared with just those taken nodes that the triangle inequality leaves, if they are not in one class by then. Nodes that
-missed all leaders go into the next round with twice as many leaders, until no bucket has nodes of two classes left.
+No bucket is expanded into pairs of rows. Its nodes are first compared with a leader, the node that shares most places with others over all
+bands; in a large group of copies that is a text close to the original. Buckets whose nodes are in one component by then, or that have
+no two nodes besides the leader, are done. What is left of the others is compared completely, but in blocks: a bucket is cut into
+blocks of bounded size, each task gets two blocks, counts what their texts share by matrix products and hands out only a
+spanning forest of the links between components. So no link among candidates is lost, and rows grow with nodes times blocks.
 
 Words are as in ``decontaminate``. A text of one to four words is a single shingle.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import weighted_minhash as wm
@@ -37,12 +38,17 @@ from surveyloom.session import materialize
 COUNT_BLOCK = 1 << 14
 #: Nodes that one task compares with a leader at once; a leader of more is sent to several tasks.
 SALT_NODES = 400
+#: Nodes and bytes of text of a block.
+BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
+#: Bytes of text whose shingles are held at once.
+SCAN_BYTES = 6 << 20
+COLUMNS = 4_096
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per bucket, summed over the task's documents."""
     total = np.zeros(1 << wm.IDF_BITS, np.int64)
-    for batch in slices(batches):
+    for batch in slices(batches, most=SCAN_BYTES):
         total += np.bincount(wm.Shingles(batch.column("text")).buckets(), minlength=len(total))
     parts = total.reshape(-1, COUNT_BLOCK)
     full = np.flatnonzero(parts.any(axis=1))
@@ -77,7 +83,7 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
 
 def _sign(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
             keys = wm.signatures(s.hashes, s.weights(sent.value), s.starts)
             bands = [k if n else None for k, n in zip(keys.view(np.int64), s.n_words, strict=True)]
@@ -97,7 +103,7 @@ def _compare(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, kept = None, None
-        for batch in slices(batches):
+        for batch in slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
             weights = s.weights(sent.value)
             out = []
@@ -131,51 +137,124 @@ def compare(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return materialize(rows.mapInArrow(_compare(idf), "a long, node long, sim double"), "near-compared")
 
 
-def link(buckets: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b) of verified links that connect what the buckets' pairs of at least ``threshold`` connect.
+def _shared_weights(members: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of the lesser weights of all pairs of (hashes, counts, idf), by products over the shingles that two of them hold.
 
-    ``buckets`` has (g, node). See the module's head for the rounds.
+    A shingle counted c times is c features of its inverse frequency; texts share the features that both have.
     """
-    spark = buckets.sparkSession
-    none = "a long, node long"
-    done = spark.createDataFrame([], "a long, node long, sim double")
-    extra, leaders = spark.createDataFrame([], none), 1
-    groups = buckets
-    while True:
-        if leaders == 1:
-            heads = groups.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(F.col("g").alias("hg"), "a")
-        else:
-            place = F.row_number().over(Window.partitionBy("g").orderBy("node"))
-            heads = groups.withColumn("place", place).where(F.col("place") <= leaders).select(F.col("g").alias("hg"), F.col("node").alias("a"))
-        seats = groups.join(heads, F.col("g") == F.col("hg")).where("node != a").select("g", "a", "node")
-        seats = materialize(seats, "near-seats")
-        ordered = seats.select("a", "node").union(extra)
-        ordered = ordered.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("node")).distinct()
-        pairs = materialize(ordered.join(done.select("a", "node"), ["a", "node"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            return done.where(F.col("sim") >= threshold).select("a", F.col("node").alias("b"))
-        done = materialize(done.union(compare(pairs, texts, idf)), "near-done")
-        roots = components(done.where(F.col("sim") >= threshold).select("a", F.col("node").alias("b")))
-        key = [F.least("s.a", "s.node") == F.col("d.a"), F.greatest("s.a", "s.node") == F.col("d.node")]
-        judged = seats.alias("s").join(done.alias("d"), key[0] & key[1]).select("s.g", "s.a", "s.node", "d.sim")
-        judged = judged.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        judged = materialize(judged, "near-judged")
-        # Misses that a taken node may still take; compared only across classes.
-        reach = 2 * threshold - 1
-        near = judged.where((F.col("sim") < threshold) & (F.col("sim") >= reach))
-        taken = judged.where(F.col("sim") >= threshold)
-        extra = (
-            near.alias("x")
-            .join(taken.alias("y"), ["g", "a"])
-            .where((F.col("x.root") != F.col("y.root")) & (F.col("y.sim") <= F.col("x.sim") + (1 - threshold)))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("node"))
-        )
-        missed = judged.groupBy("g", "node", "root").agg(F.max("sim").alias("sim")).where(F.col("sim") < threshold)
-        heads_again = judged.select("g", F.col("a").alias("node")).distinct()
-        missed = missed.join(heads_again, ["g", "node"], "left_anti")
-        mixed = missed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-        groups = materialize(missed.join(mixed, "g").select("g", "node"), "near-groups")
-        leaders *= 2
+    sizes = [int(c.sum()) for _, c, _ in members]
+    owner = np.repeat(np.arange(len(members)), sizes)
+    hashes = np.concatenate([np.repeat(h, c) for h, c, _ in members])
+    idf = np.concatenate([np.repeat(i, c) for _, c, i in members])
+    counts = np.concatenate([c for _, c, _ in members])
+    turn = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        feature = wm.mix(hashes + turn.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    _, column, held = np.unique(feature, return_inverse=True, return_counts=True)
+    both = held[column] > 1
+    owner, idf = owner[both], idf[both]
+    _, column = np.unique(column[both], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, idf, column = owner[order], idf[order], column[order]
+    shared = np.zeros((len(members), len(members)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(members), COLUMNS))
+        part[owner[low:high], column[low:high] - first] = np.sqrt(idf[low:high])
+        shared += part @ part.T
+    return shared
+
+
+def block_links(nodes: list[int], roots: list[int], members: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between nodes of different components."""
+    shared = _shared_weights(members)
+    weight = np.array([float((c * i).sum()) for _, c, i in members])
+    total = weight[:, None] + weight[None, :] - shared
+    linked = np.triu(shared >= threshold * total, 1) & (total > 0)
+    top = {r: r for r in roots}
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    out = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = find(roots[a]), find(roots[b])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((nodes[a], nodes[b]))
+    return out
+
+
+def _blocks(sent, threshold: float):
+    """Rows come sorted by bucket and block pair; one pair of blocks is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, roots, members = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            links = block_links(nodes, roots, members, threshold) if len(set(roots)) > 1 else []
+            columns = list(zip(*links, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in slices(batches, most=SCAN_BYTES):
+            s = wm.Shingles(batch.column("text"))
+            idf = sent.value[s.buckets()]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j")), strict=True)
+            rows = zip(keys, batch.column("node").to_pylist(), batch.column("root").to_pylist(), strict=True)
+            for k, (own, node, root) in enumerate(rows):
+                if own != key:
+                    if len(nodes) > 1:
+                        yield close()
+                    key, nodes, roots, members = own, [], [], []
+                at = slice(s.starts[k], s.starts[k + 1])
+                nodes.append(node)
+                roots.append(root)
+                members.append((s.hashes[at], s.counts[at], idf[at]))
+        if len(nodes) > 1:
+            yield close()
+
+    return run
+
+
+def _mixed_links(open_: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b) of a spanning forest of the links that the buckets (g, node, root) hold between components."""
+    sized = open_.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = sized.groupBy("g").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    placed = open_.join(blocks.withColumnRenamed("g", "bg"), F.col("g") == F.col("bg"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(texts, "node")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").select("g", "i", "j", "node", "root", "text")
+    return materialize(rows.mapInArrow(_blocks(idf, threshold), "a long, b long"), "near-block-links")
+
+
+def link(buckets: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, root): the components of the links of at least ``threshold`` between nodes of one bucket (g, node); roots are not listed."""
+    sizes = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("g", "sg")
+    central = buckets.join(sizes, F.col("g") == F.col("sg")).groupBy("node").agg(F.sum("size").alias("score")).withColumnRenamed("node", "cn")
+    scored = buckets.join(central, F.col("node") == F.col("cn")).select("g", "node", "score")
+    heads = scored.groupBy("g").agg(F.max_by("node", F.struct("score", "node")).alias("a")).withColumnRenamed("g", "hg")
+    seats = materialize(buckets.join(heads, F.col("g") == F.col("hg")).where("node != a").select("g", "a", "node"), "near-seats")
+    compared = compare(seats.select("a", "node").distinct(), texts, idf)
+    roots = components(compared.where(F.col("sim") >= threshold).select("a", F.col("node").alias("b")))
+    named = seats.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("g").alias("mg"))
+    open_ = materialize(named.join(mixed, F.col("g") == F.col("mg")).select("g", "node", "root"), "near-open")
+    more = _mixed_links(open_, texts, idf, threshold)
+    if more.isEmpty():
+        return roots
+    known = open_.select("node", "root").distinct()
+    a, b = (known.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in "ab")
+    between = more.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+    upper = components(between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    upper = upper.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(upper, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return moved.union(upper.select(F.col("old").alias("node"), F.col("new").alias("root")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -198,8 +277,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = materialize(spread.join(crowded, F.col("g") == F.col("cg")).select("g", "node"), "near-buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc").alias("wd"), F.col("rep.digest").alias("wg"))
     texts = rows.join(wanted, same(rows, wanted, [("doc", "wd"), ("digest", "wg")])).select("node", "text").dropDuplicates(["node"])
-    links = link(buckets, materialize(texts, "near-texts"), idf, threshold)
-    roots = components(links)
+    roots = link(buckets, materialize(texts, "near-texts"), idf, threshold)
     placed = nodes.select("node", "e1", "e2", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min("rep").alias("best")).withColumnRenamed("root", "fr")
     by_words = placed.join(firsts, F.col("root") == F.col("fr")).select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), "best")

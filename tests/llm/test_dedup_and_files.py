@@ -153,20 +153,35 @@ def test_near_classes_equal_those_of_all_pairs(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(expected.values())
 
 
-def test_rounds_find_links_that_the_first_leader_misses(spark):
-    """A bucket of two tight groups, and one node near the leader's group but not near the leader."""
+@pytest.mark.parametrize("block", [512, 2])
+def test_blocks_find_links_that_the_leader_misses(spark, monkeypatch, block):
+    """A chain of versions, each near the next one only, two other texts, and one that is near none."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", block)
     draw = random.Random(1)
-    base = [f"a{draw.random()}" for _ in range(400)]
-    swap = lambda low, high: base[:low] + [f"b{draw.random()}" for _ in range(high - low)] + base[high:]
+    chain = [[f"a{draw.random()}" for _ in range(400)]]
+    for k in range(6):
+        chain.append([*chain[-1][: 40 * k], *(f"b{draw.random()}" for _ in range(40)), *chain[-1][40 * k + 40 :]])
     far = [f"c{draw.random()}" for _ in range(400)]
-    texts = {1: base, 2: swap(0, 40), 3: swap(0, 80), 4: far, 5: [*far[:390], *far[:10]], 6: [f"d{k}" for k in range(50)]}
-    texts[3] = texts[2][:40] + [f"e{k}" for k in range(38)] + base[78:]
-    nodes = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "node long, text string")
-    idf = np.ones(1 << wm.IDF_BITS)
-    buckets = spark.createDataFrame([(7, k) for k in texts], "g long, node long")
-    links = near_dedup.link(buckets, nodes, spark.sparkContext.broadcast(idf), 0.8)
-    got = {r.node: r.root for r in components.components(links).collect()}
-    assert got == {2: 1, 3: 1, 5: 4}
+    texts = [*chain, far, [*far[:390], *far[:10]], [f"d{k}" for k in range(50)], ["e"] * 60]
+    nodes = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(texts)], "node long, text string")
+    idf = spark.sparkContext.broadcast(np.ones(1 << wm.IDF_BITS))
+    buckets = spark.createDataFrame([(7, k) for k in range(len(texts))], "g long, node long")
+    got = {r.node: r.root for r in near_dedup.link(buckets, nodes, idf, 0.8).collect()}
+    assert got == {**{k: 0 for k in range(1, 7)}, 8: 7}
+
+
+def test_shared_weights_equal_those_of_pairs():
+    draw = np.random.default_rng(9)
+    members = []
+    for _ in range(12):
+        hashes = np.unique(draw.integers(0, 60, 40, dtype=np.uint64))
+        members.append((hashes, draw.integers(1, 4, len(hashes)), 1.0 + hashes.astype(float)))
+    shared = near_dedup._shared_weights(members)
+    for a, (ha, ca, ia) in enumerate(members):
+        for b, (hb, cb, ib) in enumerate(members):
+            other = dict(zip(hb.tolist(), (cb * ib).tolist(), strict=True))
+            expected = sum(min(w, other.get(h, 0.0)) for h, w in zip(ha.tolist(), (ca * ia).tolist(), strict=True))
+            assert a == b or np.isclose(shared[a, b], expected)
 
 
 def test_near_odd_rows(spark):
