@@ -1,6 +1,6 @@
 """Near-duplicate classes by weighted MinHash.
 
-Documents are sets of shingles of five words weighted by count times inverse document frequency. The frequencies are counted over all
+Documents are sets of shingles of five words weighted by 1 + ln(count) times inverse document frequency (scaled to 1..2). The frequencies are counted over all
 documents in a table of fixed size, indexed by shingle hash. Texts of equal words are one node. Nodes whose signatures
 agree in a band are candidates; a candidate pair is a link if its weighted Jaccard similarity is at least ``threshold``, and a
 class is a connected component of links.
@@ -140,27 +140,28 @@ def compare(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
 def _shared_weights(members: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Sums of the lesser weights of all pairs of (hashes, counts, idf), by products over the shingles that two of them hold.
 
-    A shingle counted c times is c features of its inverse frequency; texts share the features that both have.
+    A shingle counted c times is c features whose weights add up to its own; texts share the features that both have.
     """
     sizes = [int(c.sum()) for _, c, _ in members]
     owner = np.repeat(np.arange(len(members)), sizes)
     hashes = np.concatenate([np.repeat(h, c) for h, c, _ in members])
-    idf = np.concatenate([np.repeat(i, c) for _, c, i in members])
+    weight = np.concatenate([np.repeat(i, c) for _, c, i in members])
     counts = np.concatenate([c for _, c, _ in members])
     turn = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    weight *= np.where(turn > 0, np.log((turn + 1) / np.maximum(turn, 1)), 1.0)
     with np.errstate(over="ignore"):
         feature = wm.mix(hashes + turn.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     _, column, held = np.unique(feature, return_inverse=True, return_counts=True)
     both = held[column] > 1
-    owner, idf = owner[both], idf[both]
+    owner, weight = owner[both], weight[both]
     _, column = np.unique(column[both], return_inverse=True)
     order = np.argsort(column, kind="stable")
-    owner, idf, column = owner[order], idf[order], column[order]
+    owner, weight, column = owner[order], weight[order], column[order]
     shared = np.zeros((len(members), len(members)))
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         low, high = np.searchsorted(column, [first, first + COLUMNS])
         part = np.zeros((len(members), COLUMNS))
-        part[owner[low:high], column[low:high] - first] = np.sqrt(idf[low:high])
+        part[owner[low:high], column[low:high] - first] = np.sqrt(weight[low:high])
         shared += part @ part.T
     return shared
 
@@ -168,7 +169,7 @@ def _shared_weights(members: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 def block_links(nodes: list[int], roots: list[int], members: list[tuple], threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the links between nodes of different components."""
     shared = _shared_weights(members)
-    weight = np.array([float((c * i).sum()) for _, c, i in members])
+    weight = np.array([float((wm.term_weight(c) * i).sum()) for _, c, i in members])
     total = weight[:, None] + weight[None, :] - shared
     linked = np.triu(shared >= threshold * total, 1) & (total > 0)
     top = {r: r for r in roots}

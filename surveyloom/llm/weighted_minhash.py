@@ -82,12 +82,22 @@ class Shingles:
         return (self.hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)
 
     def weights(self, idf: np.ndarray) -> np.ndarray:
-        """Count times inverse document frequency."""
-        return self.counts * idf[self.buckets()]
+        return term_weight(self.counts) * idf[self.buckets()]
+
+
+def term_weight(counts: np.ndarray) -> np.ndarray:
+    """1 + ln(count): one phrase said hundreds of times does not make two texts alike."""
+    return 1.0 + np.log(counts)
 
 
 def inverse_frequency(docs_by_bucket: np.ndarray, docs: int) -> np.ndarray:
-    return np.log1p(docs / np.maximum(docs_by_bucket, 1))
+    """1 + ln(docs / frequency) / ln(docs + 1), from 1 (in every document) to 2.
+
+    The plain logarithm would let the edits in a large group of copies outweigh what its members share, whose frequency
+    the group itself makes high.
+    """
+    docs = max(docs, 1)
+    return 1.0 + np.log(docs / np.clip(docs_by_bucket, 1, docs)) / np.log(docs + 1)
 
 
 def signatures(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -179,8 +179,8 @@ def test_shared_weights_equal_those_of_pairs():
     shared = near_dedup._shared_weights(members)
     for a, (ha, ca, ia) in enumerate(members):
         for b, (hb, cb, ib) in enumerate(members):
-            other = dict(zip(hb.tolist(), (cb * ib).tolist(), strict=True))
-            expected = sum(min(w, other.get(h, 0.0)) for h, w in zip(ha.tolist(), (ca * ia).tolist(), strict=True))
+            other = dict(zip(hb.tolist(), (wm.term_weight(cb) * ib).tolist(), strict=True))
+            expected = sum(min(w, other.get(h, 0.0)) for h, w in zip(ha.tolist(), (wm.term_weight(ca) * ia).tolist(), strict=True))
             assert a == b or np.isclose(shared[a, b], expected)
 
 
