@@ -41,21 +41,36 @@ WEIGHT = "_weight"
 def fold_rows(df: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, int]:
     """Training rows with a weight column, and how many rows they stand for.
 
-    Survey answers repeat: where at most half of the rows differ, equal ones become one weighted row,
-    and every later pass of an iterative fit reads the short table. The weighted loss is the same.
+    Survey answers repeat, so equal rows become one weighted row and every later pass of an iterative fit reads
+    the short table. This is for fits whose loss is a weighted sum over rows, which folding leaves as it is.
     """
     slim = df.select(*features, label)
-    seen = slim.agg(
-        F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*slim.columns)).alias("d")
-    ).first()
-    if 2 * seen["d"] <= seen["n"]:
-        return slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias(WEIGHT)), seen["n"]
-    return slim.withColumn(WEIGHT, F.lit(1.0)), seen["n"]
+    return slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias(WEIGHT)), slim.count()
+
+
+def binary_label(label: str) -> Column:
+    """The label as 0 or 1; any other value, null too, makes the query fail."""
+    y = F.col(label).cast("double")
+    problem = F.concat(F.lit(f"{label} must be 0 or 1, not "), F.coalesce(F.col(label).cast("string"), F.lit("null")))
+    return F.when(y.isin(0.0, 1.0), y.cast("int")).otherwise(F.raise_error(problem).cast("int"))
+
+
+def whole(value: Column, features: Sequence[str]) -> Column:
+    """``value`` where no feature is missing (null or NaN); a row with a missing feature makes the query fail."""
+    missing = F.lit(False)
+    for c in features:
+        x = F.col(c).cast("double")
+        missing = missing | x.isNull() | F.isnan(x)
+    problem = f"a feature of {list(features)} is missing"
+    return F.when(missing, F.raise_error(F.lit(problem)).cast("double")).otherwise(value)
 
 
 @dataclass
 class ExpressionModel:
-    """A model whose margin is a column expression: scoring is one projection inside generated code."""
+    """A model whose margin is a column expression: scoring is one projection inside generated code.
+
+    Rows with a missing feature cannot be scored; fill or drop them first.
+    """
 
     features: list[str]
     margin: Column
@@ -64,7 +79,7 @@ class ExpressionModel:
     detail: dict[str, Any] = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = (self.scaler.apply(df) if self.scaler else df).withColumn("_margin", self.margin)
+        scored = (self.scaler.apply(df) if self.scaler else df).withColumn("_margin", whole(self.margin, self.features))
         out = scored.withColumn("prediction", F.when(F.col("_margin") > self.threshold, 1.0).otherwise(0.0))
         out = out.withColumn("probability", 1 / (1 + F.exp(-F.col("_margin"))))
         return out.select(*df.columns, "prediction", "probability")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.operators.classifiers.base import ExpressionModel
+from surveyloom.operators.classifiers.base import ExpressionModel, binary_label
 
 
 def fit_bayes(df: DataFrame, features: Sequence[str], label: str, *, var_smoothing: float = 1e-9) -> ExpressionModel:
@@ -20,8 +20,8 @@ def fit_bayes(df: DataFrame, features: Sequence[str], label: str, *, var_smoothi
     wanted = [F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"f{i}") for i, c in enumerate(features)]
     # The extra grouping set gives the variances over all rows without a second scan.
     rows = (
-        df.where(F.col(label).isin(0, 1))
-        .rollup(F.col(label).cast("int").alias("k"))
+        df.withColumn("_k", binary_label(label))
+        .rollup(F.col("_k").alias("k"))
         .agg(F.count("*").alias("n"), *wanted)
         .collect()
     )

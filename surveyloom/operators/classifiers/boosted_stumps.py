@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.operators.classifiers.base import VECTOR, ExpressionModel
+from surveyloom.operators.classifiers.base import VECTOR, ExpressionModel, binary_label
 
 
 def _stump_sign(model, features: Sequence[str]) -> Column:
@@ -44,8 +44,8 @@ def fit_adaboost(
     """
     features = list(features)
     folded = (
-        df.where(F.col(label).isin(0, 1))
-        .groupBy(*features, F.col(label).cast("double").alias("_y"))
+        df.withColumn("_y", binary_label(label).cast("double"))
+        .groupBy(*features, "_y")
         .agg(F.count("*").cast("double").alias("_n"))
     )
     train = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(folded).persist()

@@ -19,6 +19,7 @@ from surveyloom.operators.classifiers.base import (
     ExpressionModel,
     PipelineClassifier,
     Scaler,
+    binary_label,
     fit_pipeline,
     fold_rows,
     scaled,
@@ -111,13 +112,14 @@ def fit_svm(
     scaler = Scaler.fit(df, features)
     if kernel == "linear":
         return fit_pipeline(train, features, svm, scaler=scaler)
-    if kernel == "poly":
+    d = len(features)
+    width = 1.0 / d if gamma in ("scale", "auto") else float(gamma)
+    if kernel == "poly":  # gamma multiplies inner products, so its root multiplies the inputs
+        scaler = Scaler({c: (mean, (std or 0.0) / math.sqrt(width)) for c, (mean, std) in scaler.moments.items()})
         expand = PolynomialExpansion(degree=3, inputCol=VECTOR, outputCol="_poly")
         return fit_pipeline(train, features, svm.setFeaturesCol("_poly"), before=[expand], scaler=scaler)
     if kernel != "rbf":
         raise ValueError(f"kernel {kernel} is not available")
-    d = len(features)
-    width = 1.0 / d if gamma in ("scale", "auto") else float(gamma)
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, math.sqrt(2 * width), (d, n_components))
     model = FourierModel(features, scaler, weights, rng.uniform(0, 2 * math.pi, n_components))
@@ -138,7 +140,7 @@ def fit_discriminant(
     features = list(features)
     scaler = Scaler.fit(df, features)
     names = [scaled(c) for c in features]
-    x = scaler.apply(df).where(F.col(label).isin(0, 1))
+    x = scaler.apply(df).withColumn(label, binary_label(label))
     rows = x.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).collect()
     stats = {int(r[label]): (r["n"], np.array([r[c] for c in names], dtype=float)) for r in rows}
     if set(stats) != {0, 1}:

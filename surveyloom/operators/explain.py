@@ -82,6 +82,10 @@ class Leaf:
     high: np.ndarray
     value: float
 
+    def __post_init__(self) -> None:
+        if len(self.features) > 62:
+            raise ValueError("a path that tests more than 62 features is not supported")
+
     def mask(self, x: np.ndarray) -> np.ndarray:
         """Per row, one bit for each tested feature that lies inside the box."""
         part = x[:, self.features]

@@ -12,17 +12,20 @@ from surveyloom.operators.rank import prefix_sums
 
 
 def _cell(label: str, pred: str, actual: int, guess: int) -> Column:
-    return F.count_if((F.col(label) == actual) & (F.col(pred) == guess))
+    return F.count_if((F.col(label).cast("double") == actual) & (F.col(pred).cast("double") == guess))
 
 
 def confusion_counts(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, tn in one pass, over the table or per group."""
-    return df.groupBy(*by).agg(
-        _cell(label, pred, 1, 1).alias("tp"),
-        _cell(label, pred, 0, 1).alias("fp"),
-        _cell(label, pred, 1, 0).alias("fn"),
-        _cell(label, pred, 0, 0).alias("tn"),
+    """tp, fp, fn, tn in one pass, over the table or per group. Labels and predictions other than 0 and 1, null too,
+    make the query fail."""
+    known = F.col(label).cast("double").isin(0.0, 1.0) & F.col(pred).cast("double").isin(0.0, 1.0)
+    cells = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    counts = df.groupBy(*by).agg(
+        *[_cell(label, pred, a, p).alias(c) for c, (a, p) in cells.items()],
+        F.count_if(~F.coalesce(known, F.lit(False))).alias("_others"),
     )
+    problem = F.raise_error(F.lit(f"{label} and {pred} must be 0 or 1 in every row")).cast("long")
+    return counts.select(*by, *[F.when(F.col("_others") > 0, problem).otherwise(F.col(c)).alias(c) for c in cells])
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Describing a table: statistics, nulls, shares, crosstabs and rank correlation.
 
-Each report reads the table once for all columns; per-column loops only build expressions.
+Reports read the table once for all columns, but for exact quantiles and rank correlation; per-column loops only build
+expressions. NaN counts as missing, like null.
 """
 
 from __future__ import annotations
@@ -9,12 +10,24 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.scalars import percent
-from surveyloom.operators.rank import SMALL, value_ranks
+from surveyloom.operators.rank import prefix_sums, value_ranks
 from surveyloom.schema import numeric_names
+from surveyloom.session import materialize
+
+
+def _present(df: DataFrame, name: str) -> Column:
+    """Whether the column holds a value: neither null nor NaN."""
+    c = F.col(name)
+    return c.isNotNull() & ~F.isnan(c) if df.schema[name].dataType.typeName() in ("float", "double") else c.isNotNull()
+
+
+def _number(name: str) -> Column:
+    """The column as a double, NaN as null."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
 def numeric_columns(df: DataFrame) -> DataFrame:
@@ -24,7 +37,7 @@ def numeric_columns(df: DataFrame) -> DataFrame:
 
 def column_info(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type and number of non-null values."""
-    counts = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    counts = df.agg(*[F.count_if(_present(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     entries = [
         F.struct(
             F.lit(i).alias("position"),
@@ -39,7 +52,7 @@ def column_info(df: DataFrame) -> DataFrame:
 
 def null_report(df: DataFrame) -> DataFrame:
     """Columns that hold nulls: how many and what percent of all rows, most first."""
-    sums = [F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    sums = [F.count_if(~_present(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
     counts = df.agg(F.count("*").alias("n"), *sums)
     entries = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("n_null")) for i, c in enumerate(df.columns)
@@ -54,12 +67,13 @@ def null_report(df: DataFrame) -> DataFrame:
 
 def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type: str = "double") -> DataFrame:
     """(keep..., feature, value) with one row per input row and column."""
-    typed = df.select(*keep, *[F.col(c).cast(as_type).alias(c) for c in cols])
+    typed = df.select(*keep, *[(_number(c) if as_type == "double" else F.col(c).cast(as_type)).alias(c) for c in cols])
     return typed.unpivot(list(keep), list(cols), "feature", "value")
 
 
-# Highest accuracy asked of an approximate quantile.
+# Highest accuracy asked of an approximate quantile, and the rows that a bracket should hold at most.
 SHARPEST = 10_000_000
+BRACKET_ROWS = 100_000
 
 
 def _per_group(group: str, values: dict) -> Column:
@@ -76,14 +90,14 @@ def grouped_quantiles(
     probs: Sequence[float],
     group: str = "feature",
     value: str = "value",
-    limit: int = SMALL,
+    limit: int = BRACKET_ROWS,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: (group, prob, quantile).
 
     Approximate quantiles bracket each wanted position; one pass counts the rows below and inside every
-    bracket, and a bracket with more than ``limit`` rows is narrowed again. Only the few rows inside
-    the brackets are then counted per value and ordered; the table itself is never shuffled or sorted.
+    bracket, and a bracket with more than ``limit`` rows is narrowed again, as far as a sketch can. Only the rows inside
+    the brackets are then counted per value and ordered, over all tasks; the table itself is never shuffled or sorted.
     Each round brings back a few numbers per group and quantile.
     """
     rows = long.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
@@ -99,8 +113,7 @@ def grouped_quantiles(
     # Per wanted quantile: each group's position, bracket, and rows below the bracket.
     at = [{r["_g"]: (r["n"] - 1) * p for r in found} for p in probs]
     whole = {r["_g"]: (r["lo"], r["hi"]) for r in found}
-    tight = sum(r["n"] for r in found) > limit
-    bracket = [{r["_g"]: (r["e"][2 * j], r["e"][2 * j + 1]) if tight else whole[r["_g"]] for r in found} for j in range(len(probs))]
+    bracket = [{r["_g"]: (r["e"][2 * j], r["e"][2 * j + 1]) for r in found} for j in range(len(probs))]
     below = [dict.fromkeys(whole, 0) for _ in probs]
 
     def ends(j: int) -> tuple[Column, Column]:
@@ -113,7 +126,7 @@ def grouped_quantiles(
     # narrow it with. Every round shrinks a bracket or raises its accuracy, so the rounds end.
     good = [{r["_g"]: (whole[r["_g"]], 0, r["n"]) for r in found} for _ in probs]
     sharp = [dict.fromkeys(whole, accuracy) for _ in probs]
-    while tight:
+    while True:
         counts = []
         for j in range(len(probs)):
             low, high = ends(j)
@@ -131,7 +144,6 @@ def grouped_quantiles(
                 low, high = bracket[j][g]
                 if inside > limit and low < high and sharp[j][g] <= SHARPEST:
                     wide.append((j, g, (at[j][g] - below[j][g]) / (inside - 1)))
-        tight = bool(wide)
         if not wide:
             break
         finer = []
@@ -156,14 +168,17 @@ def grouped_quantiles(
                 F.struct(F.lit(float(p)).alias("prob"), _per_group("_g", at[j]).alias("at"), _per_group("_g", below[j]).alias("below")),
             )
         )
-    inside = Window.partitionBy("_g", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     counted = (
         rows.where(near_any)
         .select("_g", "_v", F.explode(F.array(*places)).alias("w"))
         .where(F.col("w").isNotNull())
         .groupBy("_g", "w.prob", "w.at", "w.below", "_v")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_f", F.col("below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .withColumn("_place", F.struct("_g", "prob"))
+    )
+    counted = (
+        prefix_sums(counted, "_v", ["_n"], "_place")
+        .withColumn("_f", F.col("below") + F.col("_n_before"))
         .withColumn("_l", F.col("_f") + F.col("_n") - 1)
     )
 
@@ -187,7 +202,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
         raise ValueError("no numeric columns")
     aggs: list[Column] = []
     for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
+        v = _number(c)
         aggs += [
             F.count(v).alias(f"n{i}"),
             F.avg(v).alias(f"m{i}"),
@@ -271,24 +286,19 @@ def crosstab(df: DataFrame, row: str, col: str, names: dict) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of every ordered column pair: (feature_x, feature_y, rho).
 
-    Where at most half of the rows differ, equal ones are folded to one counted row. Ranks come from the distinct
-    values of all columns together, and the sums over the counted rows give the coefficients.
+    Equal rows are folded to one counted row. Ranks come from the distinct values of all columns together, stored once,
+    and the sums over the counted rows give the coefficients.
     Ranks are centred before they are multiplied, to keep digits on large tables. Pairs use the
     rows where both values are present; a column with one distinct value gives null.
     """
     cols = list(cols or numeric_names(df))
     if len(cols) < 2:
         raise ValueError("need two numeric columns")
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    typed = df.select(*[_number(c).alias(c) for c in cols])
     counts = [F.count(F.col(c)).alias(c) for c in cols]
-    distinct = F.approx_count_distinct(F.xxhash64(*cols))
-    sizes = typed.agg(F.count("*").alias("_all"), distinct.alias("_distinct"), *counts).first()
-    if 2 * sizes["_distinct"] <= sizes["_all"]:
-        folded = typed.groupBy(*cols).agg(F.count("*").alias("_c"))
-    else:
-        folded = typed.withColumn("_c", F.lit(1).cast("long"))
-    long = _long(df, cols)
-    ranks = value_ranks(long, "value", "feature")
+    sizes = typed.agg(*counts).first()
+    folded = typed.groupBy(*cols).agg(F.count("*").alias("_c"))
+    ranks = materialize(value_ranks(_long(df, cols), "value", "feature"), "value-ranks")
     ranked = folded
     for i, c in enumerate(cols):
         one = ranks.where(F.col("feature") == c).select(

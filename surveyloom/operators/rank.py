@@ -1,8 +1,8 @@
 """Global ranks without a global sort in one task.
 
 Rows that share a value are folded first, so a value held by a third of the table is one row from
-then on. The distinct values are stored and cut into ordered buckets, each bucket's total becomes an
-offset, and only the ordering inside a bucket needs a window.
+then on. The distinct values are dealt out by range, which their sampled bounds keep even whatever their
+distribution is, and stored. Each range's total becomes an offset, and only the ordering inside a range needs a window.
 """
 
 from __future__ import annotations
@@ -15,117 +15,48 @@ from pyspark.sql import functions as F
 from surveyloom.functions.hashing import key_hash
 from surveyloom.session import materialize
 
-COARSE = 128
-FINE = 64
-BUCKET_ROWS = 1_000_000
-_ACCURACY = 2000
-# Rows that one task may order; the bucketed way takes over above it.
-SMALL = 100_000
 
-
-def edge_probs() -> list[float]:
-    return [i / COARSE for i in range(COARSE + 1)]
-
-
-def with_bucket(df: DataFrame, value: str, edges: dict, group: str, fine: int, out: str = "_b") -> DataFrame:
-    """Add an order-preserving bucket number: the quantile interval of the value, then ``fine`` equal steps inside it.
-
-    ``edges`` holds COARSE + 1 ascending quantiles per group. The interval is found by binary search,
-    written as one fold over the step sizes so that the plan holds the expression once. Equal values
-    always fall in one bucket; how even the buckets are affects speed only.
-    """
-    v = F.col(value)
-    steps = F.array(*[F.lit(COARSE >> k) for k in range(1, COARSE.bit_length())])
-
-    def number(e: Column, i: Column) -> Column:
-        low, high = F.get(e, i), F.get(e, i + 1)
-        inside = F.nanvl(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)), F.lit(0.0))
-        step = F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * fine
-        return i * fine + F.least(F.lit(fine - 1), step.cast("int"))
-
-    def search(e: Column) -> Column:
-        return F.aggregate(
-            steps,
-            F.lit(0),
-            lambda i, s: i + F.when(F.get(e, i + s) < v, s).otherwise(0),
-            lambda i: number(e, i),
-        )
-
-    pairs = [x for g, e in edges.items() for x in (F.lit(g), F.lit(e))]
-    own = F.try_element_at(F.create_map(*pairs), F.col(group))
-    return df.withColumn(out, F.get(F.transform(F.array(own), search), F.lit(0)))
-
-
-def prefix_sums(
-    table: DataFrame, order: str, sums: Sequence[str], group: str | None = None, small: int = SMALL
-) -> DataFrame:
-    """The table of ``prefix_totals`` without its totals."""
-    return prefix_totals(table, order, sums, group, small)[0]
-
-
-def prefix_totals(
-    table: DataFrame, order: str, sums: Sequence[str], group: str | None = None, small: int = SMALL
-) -> tuple[DataFrame, dict]:
+def prefix_sums(table: DataFrame, order: str, sums: Sequence[str], group: str | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over rows of the same group with a smaller ``order``.
 
-    ``(group, order)`` must be unique and not null, and ``order`` numeric; groups are few (features or
-    classes). One job counts the rows and finds the bucket edges. A group table of at most ``small``
-    rows in all is then ordered directly; a larger one by buckets. Also returns each group's total of
-    the first sum.
+    ``(group, order)`` must be unique and not null; both may be of any type that can be ordered.
     """
-    table = materialize(table, "ordered", spread=True)
     g = F.lit(0) if group is None else F.col(group)
-    t = table.withColumn("_g", g).withColumn("_v", F.col(order).cast("double"))
-    found = (
-        t.groupBy("_g")
-        .agg(F.count("*").alias("n"), F.sum(sums[0]).alias("s"), F.percentile_approx("_v", edge_probs(), _ACCURACY).alias("e"))
-        .collect()
-    )
-    grand = {r["_g"]: r["s"] for r in found}
+    ranged = table.withColumn("_group", g).repartitionByRange("_group", order).withColumn("_range", F.spark_partition_id())
+    stored = materialize(ranged, "ranged")
     before = (Window.unboundedPreceding, -1)
-    if sum(r["n"] for r in found) <= small:
-        whole = Window.partitionBy("_g").orderBy(order).rowsBetween(*before)
-        out = t
-        for c in sums:
-            out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(whole), F.lit(0)))
-        return out.select(*table.columns, *[f"{c}_before" for c in sums]), grand
-    # About BUCKET_ROWS rows per bucket in the largest group.
-    fine = max(FINE, -(-max(r["n"] for r in found) // (COARSE * BUCKET_ROWS)))
-    b = materialize(with_bucket(t, "_v", {r["_g"]: r["e"] for r in found}, "_g", fine), "bucketed")
-    # At most COARSE * fine rows per group.
-    totals = b.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(*before)
+    # One row per group and range that holds some of it.
+    totals = stored.groupBy("_group", "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(*before)
     offsets = totals.select(
-        "_g", "_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
+        "_group", "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
-    inside = Window.partitionBy("_g", "_b").orderBy(order).rowsBetween(*before)
-    out = b.join(offsets, ["_g", "_b"])
+    inside = Window.partitionBy("_group", "_range").orderBy(order).rowsBetween(*before)
+    out = stored.join(offsets, ["_group", "_range"])
     for c in sums:
         out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.select(*table.columns, *[f"{c}_before" for c in sums]), grand
+    return out.select(*table.columns, *[f"{c}_before" for c in sums])
 
 
-def value_ranks(df: DataFrame, value: str, group: str | None = None, small: int = SMALL) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """One row per distinct value: its count ``n`` and its average rank ``avg_rank`` (ties share it)."""
     keys = [value] if group is None else [group, value]
     counted = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
-    summed = prefix_sums(counted, value, ["n"], group, small)
+    summed = prefix_sums(counted, value, ["n"], group)
     return summed.select(
         *keys, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank")
     )
 
 
-def bucket_rank(
-    df: DataFrame, value: str, group: str | None = None, out: str = "avg_rank", small: int = SMALL
-) -> DataFrame:
+def bucket_rank(df: DataFrame, value: str, group: str | None = None, out: str = "avg_rank") -> DataFrame:
     """Every row with the average rank of its value, over the table or per group. Null values get null."""
-    ranks = value_ranks(df, value, group, small).drop("n").withColumnRenamed("avg_rank", out)
+    ranks = value_ranks(df, value, group).drop("n").withColumnRenamed("avg_rank", out)
     keys = [value] if group is None else [group, value]
     return df.join(ranks, keys, "left").select(*df.columns, out)
 
 
 def key_positions(df: DataFrame, key: str, out: str = "position") -> DataFrame:
-    """(key, position): the zero-based place of every row in key order; the numeric key must be unique."""
+    """(key, position): the zero-based place of every row in key order; the key must be unique."""
     keyed = df.select(key, F.lit(1).cast("long").alias("_one"))
     return prefix_sums(keyed, key, ["_one"]).select(key, F.col("_one_before").alias(out))
 
@@ -142,11 +73,14 @@ def hash_cuts(df: DataFrame, key: str, seed: int, ranks, group: str | None = Non
     g = F.lit(0) if group is None else F.col(group)
     hashed = df.select(g.alias("_g"), key_hash(key, seed).alias("_h"))
 
+    text: dict = {}  # each group as the engine writes it
+
     def count(depth: int, where: Column | None) -> dict:
         part = hashed if where is None else hashed.where(where)
-        rows = part.groupBy("_g", F.substring("_h", 1, depth).alias("_p")).agg(F.count("*").alias("n")).collect()
+        by = ["_g", F.col("_g").cast("string").alias("_t"), F.substring("_h", 1, depth).alias("_p")]
         found: dict = {}
-        for r in rows:
+        for r in part.groupBy(*by).agg(F.count("*").alias("n")).collect():
+            text[r["_g"]] = r["_t"]
             found.setdefault(r["_g"], []).append((r["_p"], r["n"]))
         return {k: sorted(v) for k, v in found.items()}
 
@@ -181,7 +115,7 @@ def hash_cuts(df: DataFrame, key: str, seed: int, ranks, group: str | None = Non
         open_at = {(k, p) for k, _, _, p, _ in later}
         # One text per row, so that the hash is computed once per row.
         mark = F.concat_ws(":", F.substring("_h", 1, depth - width), F.col("_g").cast("string"))
-        finer = count(depth, mark.isin([f"{p}:{k}" for k, p in open_at]))
+        finer = count(depth, mark.isin([f"{p}:{text[k]}" for k, p in open_at]))
         counts = {(k, p): [x for x in finer[k] if x[0].startswith(p)] for k, p in open_at}
         todo = later
     return cuts

@@ -9,8 +9,6 @@ from surveyloom.functions.hashing import key_hash
 from surveyloom.operators.rank import hash_cuts, key_positions
 from surveyloom.schema import require_columns
 
-_TOP_K_LIMIT = 10_000
-
 
 def head_n(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """First n rows in key order."""
@@ -20,11 +18,9 @@ def head_n(df: DataFrame, key: str, n: int = 5) -> DataFrame:
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """Exactly n rows (all, when there are fewer), the same ones for the same seed.
 
-    Small n is a top-k, where each task keeps at most n rows; a large n is a filter on a hash cut.
+    The rows are those up to a cut in the order of the key's hash, so none is sorted or moved. Keys must be unique.
     """
     require_columns(df, key)
-    if n <= _TOP_K_LIMIT:
-        return df.orderBy(key_hash(key, seed)).limit(n)
     cuts = hash_cuts(df, key, seed, lambda t: {0: [min(n, t.get(0, 0))]})
     return df.where(key_hash(key, seed) <= F.lit(cuts[0][0]))
 

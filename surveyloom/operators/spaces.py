@@ -73,10 +73,10 @@ def draw_params(space: Space, n: int, seed: int = 1) -> list[dict]:
     size = 1.0
     for dim in space.values():
         if isinstance(dim, Choice):
-            size *= len(dim.values)
+            size *= len({repr(v) for v in dim.values})
         elif isinstance(dim, Whole):
             size *= dim.high - dim.low + 1
-        else:
+        elif dim.low < dim.high:
             size = math.inf
     out: list[dict] = []
     seen = set()

@@ -99,7 +99,7 @@ def cross_validate(folded: DataFrame, family: Family, candidates: Sequence[Mappi
             model = family.train(folded.where(F.col("fold") != fold), task.features, task.label, task.key, params)
             score, error = score_of(model.predict(folded.where(F.col("fold") == fold)), task), None
         except Exception as e:  # recorded as a row; the other candidates go on
-            score, error = None, f"{type(e).__name__}: {e}"[:500]
+            score, error = None, f"{type(e).__name__}: {e}"
         return family.name, trial, fold, score, text_map(params), error
 
     jobs = [(start + i, p, f) for i, p in enumerate(candidates) for f in range(task.folds)]
@@ -121,6 +121,18 @@ def _summed(spark: SparkSession, rows: list[tuple], params: dict[int, dict]) ->
     return Search(trials, rows, params[best], means[best], scores[best])
 
 
+def best_trial(trials: DataFrame) -> DataFrame:
+    """(model, trial, score, params) of the trial with the highest mean score over its folds, the first one on ties.
+
+    Trials of which a fold failed are left out.
+    """
+    failed = F.col("error").isNotNull() | F.col("score").isNull() | F.isnan("score")
+    means = trials.groupBy("model", "trial").agg(
+        F.avg("score").alias("score"), F.any_value("params").alias("params"), F.count_if(failed).alias("failed")
+    )
+    return means.where("failed = 0").orderBy(F.desc("score"), "trial").limit(1).drop("failed").select("model", "trial", "score", "params")
+
+
 def random_search(folded: DataFrame, family: Family, task: Task, n_iter: int) -> Search:
     """Draw n_iter parameter maps and cross-validate each."""
     return cross_validate(folded, family, draw_params(family.space, n_iter, task.seed), task)
@@ -183,7 +195,7 @@ def compare_models(
                 mean = sum(s) / len(s)
                 std = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
             except Exception as e:  # recorded as a row; the other families go on
-                rows.append((family.name, *[None] * 6, None, f"{type(e).__name__}: {e}"[:500]))
+                rows.append((family.name, *[None] * 6, None, f"{type(e).__name__}: {e}"))
                 continue
             values = [m["accuracy"], m["precision"], m["recall"], m["f1"], mean, std]
             rows.append((family.name, *[round(v, digits) for v in values], text_map(found.best), None))

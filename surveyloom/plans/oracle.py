@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from surveyloom.operators.spaces import draw_params
 from surveyloom.plans.cases import CASES_SQL, GAPPED_SQL, _digits_sql
-from surveyloom.plans.registry import GIVEN, LINEAR_SCORE, RULES, SCALED
+from surveyloom.plans.registry import GIVEN, LINEAR_SCORE, RULES, SCALED, SMOOTHING
 from surveyloom.schema import CATEGORIES, FEATURES
 
 COLUMNS = "case_id, district_name, district_code, gender, severity, diet, smoke, water, toilet, hard_access, label"
 NUMERIC = [*FEATURES, "label"]
+# The drawn candidates of ``best_trial``, as plain numbers.
+SMOOTHINGS = [p["var_smoothing"] for p in draw_params(SMOOTHING, 6, 42)]
 
 
 def _hash(key: str, seed: int) -> str:
@@ -122,6 +125,30 @@ select case_id, label, case when margin > 0 then 1.0::double else 0.0::double en
   {_r('1 / (1 + exp(-margin))', 'probability')} from margins"""
 
 
+def _cv_bayes(smoothings: list[float], folds: int = 5) -> str:
+    """means(trial, score, spread): weighted F1 of naive Bayes over the folds of the training rows, per smoothing."""
+    order = _hash("case_id", 42)
+    stats = ", ".join(f"avg({c}) as m_{c}, var_pop({c}) as v_{c}" for c in FEATURES)
+    widest = ", ".join(f"var_pop({c})" for c in FEATURES)
+    ll = " ".join(
+        f"- 0.5::double * ln(2 * pi() * (v_{c} + extra)) - 0.5::double * ({c} - m_{c}) * ({c} - m_{c}) / (v_{c} + extra)" for c in FEATURES
+    )
+    trials = ", ".join(f"({i}, {s!r}::double)" for i, s in enumerate(smoothings))
+    return f"""{SPLIT_SQL},
+t as (select *, ntile({folds}) over (partition by label order by {order}) - 1 as fold from marked where split = 'train'),
+held as (select unnest(range({folds})) as h),
+trials(trial, smoothing) as (values {trials}),
+stats as (select h, label as k, count(*) as cn, {stats} from t, held where fold != h group by h, label),
+overall as (select h, trial, count(*) as total, any_value(smoothing) * greatest({widest}) as extra from t, held, trials where fold != h group by h, trial),
+scores as (select t.case_id, t.label, o.trial, s.h, k, ln(cn / total::double) {ll} as ll
+           from t join stats s on t.fold = s.h join overall o on o.h = s.h),
+margins as (select case_id, label, trial, h, sum(case when k = 1 then ll else -ll end) as margin from scores group by all),
+c as (select trial, h, count(*)::double as n, sum((label = 1 and margin > 0)::int)::double as tp, sum((label = 0 and margin > 0)::int)::double as fp,
+             sum((label = 1 and margin <= 0)::int)::double as fn, sum((label = 0 and margin <= 0)::int)::double as tn from margins group by trial, h),
+f as (select trial, h, (2 * tp / (2 * tp + fp + fn) * (tp + fn) + 2 * tn / (2 * tn + fp + fn) * (tn + fp)) / n as f1w from c),
+means as (select trial, avg(f1w) as score, stddev_pop(f1w) as spread from f group by trial)"""
+
+
 def _linear(tail: str) -> str:
     means = ", ".join(f"avg({c}) as m_{c}" for c in LINEAR_SCORE)
     base = "-10.0::double + " + " + ".join(f"({w}::double) * m_{c}" for c, w in LINEAR_SCORE.items())
@@ -279,6 +306,12 @@ ORACLES: dict[str, str] = {
     "split_counts": f"""{THREE_SQL} select part as split, count(*) as n,
         {_r('count(*)::double / (select count(*) from three)', 'share')} from three group by part""",
     "gaussian_nb": _bayes(),
+    "cv_score": f"""{_cv_bayes([1e-9])}
+        select 'Naive Bayes' as model, round(score, 4) as cv_mean, round(spread, 4) as cv_std from means""",
+    "best_trial": f"""{_cv_bayes(SMOOTHINGS)}
+        select 'Naive Bayes' as model, cast(trial as int) as trial, round(score, 6) as score,
+               round(list_extract([{', '.join(f'{x!r}::double' for x in SMOOTHINGS)}], trial + 1), 6) as var_smoothing
+        from means order by score desc, trial limit 1""",
     "knn_predict": f"""with ranked as (select vec_id, label, embedding::double[] as x,
           row_number() over (order by {_hash('vec_id', 1)}) as rn, count(*) over () as n from embeddings),
         marked as (select *, rn <= ceil(n * 0.2::double) as is_test from ranked),

@@ -107,11 +107,13 @@ def list_base_tables(spark, sf):
     for n, df in stored.items():
         tables.replace_table(df, n, paths[n])
     made.createOrReplaceTempView("surveyloom_view")
-    listed = [n for n in tables.list_base_tables(spark) if n.startswith("surveyloom_")]
+    try:
+        listed = [n for n in tables.list_base_tables(spark) if n in stored or n == "surveyloom_view"]
+    finally:
+        spark.catalog.dropTempView("surveyloom_view")
+        for n in stored:
+            spark.sql(f"DROP TABLE {n}")
     shapes = [sampling.shape(spark.read.parquet(paths[n])).select(F.lit(n).alias("table_name"), "*") for n in listed]
-    spark.catalog.dropTempView("surveyloom_view")
-    for n in stored:
-        spark.sql(f"DROP TABLE {n}")
     return profile.union_by_name(shapes)
 
 
@@ -477,30 +479,45 @@ def _task(**changes) -> tuning.Task:
     return tuning.Task(FEATURES, LABEL, KEY, **{"folds": 3, **changes})
 
 
-def _searched(spark, sf, search) -> DataFrame:
+def _searched(spark, sf, search, **changes) -> DataFrame:
     train, _ = split_cases(spark, sf)
-    folded = tuning.with_folds(train, _task())
+    task = _task(**changes)
+    folded = tuning.with_folds(train, task)
     try:
-        return search(folded).trials
+        return search(folded, task).trials
     finally:
         folded.unpersist()
 
 
 @query
 def cv_score(spark, sf):
-    trials = _searched(spark, sf, lambda f: tuning.cross_validate(f, FAMILIES["Naive Bayes"], [{"var_smoothing": 1e-9}], _task()))
+    one = [{"var_smoothing": 1e-9}]
+    trials = _searched(spark, sf, lambda f, task: tuning.cross_validate(f, FAMILIES["Naive Bayes"], one, task), folds=5)
     return metrics.cv_summary(trials, ["model"])
 
 
+# Wide enough for the trials to differ.
+SMOOTHING = {"var_smoothing": Real(1e-9, 1e1, log=True)}
+
+
+@query
+def best_trial(spark, sf):
+    family = Family("Naive Bayes", bayes.fit_bayes, SMOOTHING)
+    trials = _searched(spark, sf, lambda f, task: tuning.random_search(f, family, task, 6), folds=5)
+    best = tuning.best_trial(trials)
+    smoothing = F.col("params")["var_smoothing"].cast("double")
+    return rounded(best.select("model", "trial", "score", smoothing.alias("var_smoothing")), "score", "var_smoothing")
+
+
 @query
 def tune_random(spark, sf):
-    return _searched(spark, sf, lambda f: tuning.random_search(f, SMALL_TREE, _task(scoring="f1"), 3))
+    return _searched(spark, sf, lambda f, task: tuning.random_search(f, SMALL_TREE, task, 3), scoring="f1")
 
 
 @query
 def tune_space(spark, sf):
     family = Family("Naive Bayes", bayes.fit_bayes, {"var_smoothing": Real(1e-9, 1e-1, log=True)})
-    return _searched(spark, sf, lambda f: tuning.space_search(f, family, _task(), 6))
+    return _searched(spark, sf, lambda f, task: tuning.space_search(f, family, task, 6))
 
 
 @query

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from surveyloom.operators import profile, rank, splits
 
@@ -17,22 +18,32 @@ def values(spark):
     return pdf, spark.createDataFrame(pdf).repartition(7).cache()
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_average_rank_equals_pandas(values, small):
+def test_average_rank_equals_pandas(values):
     pdf, df = values
-    got = rank.bucket_rank(df, "x", "g", small=small).toPandas().sort_values("k")
+    got = rank.bucket_rank(df, "x", "g").toPandas().sort_values("k")
     want = pdf.groupby("g")["x"].rank()
     assert np.allclose(got["avg_rank"].to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_running_sums_with_negative_and_infinite_values(spark, small):
+def test_running_sums_with_negative_and_infinite_values(spark):
     v = [float("-inf"), -3.5, 0.0, 2.0, 1e300, float("inf")]
     df = spark.createDataFrame([(x, 1) for x in v], "v double, n long")
-    got, totals = rank.prefix_totals(df, "v", ["n"], None, small)
-    rows = sorted((r["v"], r["n_before"]) for r in got.collect())
+    rows = sorted((r["v"], r["n_before"]) for r in rank.prefix_sums(df, "v", ["n"]).collect())
     assert rows == list(zip(sorted(v), range(6)))
-    assert totals == {0: 6}
+
+
+def test_running_sums_of_texts_per_group(spark):
+    df = spark.createDataFrame([(g, t, 2) for g in (True, False) for t in "bdac"], "g boolean, t string, n long")
+    rows = {(r["g"], r["t"]): r["n_before"] for r in rank.prefix_sums(df, "t", ["n"], "g").collect()}
+    assert rows == {(g, t): 2 * k for g in (True, False) for k, t in enumerate("abcd")}
+
+
+def test_an_outlier_does_not_empty_the_other_ranges(spark):
+    df = spark.range(200_000).selectExpr("id as v", "1L as n").union(spark.sql("select 9000000000000000000, 1L"))
+    stored = rank.prefix_sums(df, "v", ["n"])
+    sizes = df.repartitionByRange(8, "v").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.avg("count")).first()
+    assert sizes[0] < 2 * sizes[1]
+    assert stored.where("n_before != case when v > 1e9 then 200000 else v end").count() == 0
 
 
 @pytest.mark.parametrize("limit,accuracy", [(100_000, 10_000), (20, 50), (1, 20)])
@@ -86,3 +97,9 @@ def test_quotas_and_folds_keep_the_classes(spark):
     for label in (0, 1):
         sizes = [r["count"] for r in folds if r["label"] == label]
         assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
+
+
+def test_folds_of_a_boolean_label(spark):
+    df = spark.range(9_000).selectExpr("id as k", "id % 3 = 0 as label")
+    sizes = splits.stratified_kfold(df, "k", "label", 4).groupBy("label", "fold").count().collect()
+    assert len(sizes) == 8 and {r["count"] for r in sizes} <= {1500, 750}
