@@ -1,8 +1,7 @@
 """Exact k nearest neighbours as a block join.
 
-A training table of checked small size is sent to the tasks. Otherwise neither side is broadcast or
-gathered. Training vectors are assigned to the nearest of a few pivots,
-and the cells are cut into rings by distance to the pivot and then into blocks of bounded size. The
+Neither side is broadcast or gathered. Training vectors are assigned to the nearest of some pivots, whose number
+grows with the root of the table, and the cells are cut into rings by distance to the pivot and then into blocks of bounded size. The
 triangle inequality bounds each query's k-th distance from the ring counts alone, so a query travels
 only to rings that can hold a neighbour. Every (block, query chunk) pair is one task-sized group of
 matrix work that returns at most k candidates per query; a last top-k per query joins them.
@@ -10,6 +9,7 @@ matrix work that returns at most k candidates per query; a last top-k per query
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,12 +21,10 @@ from surveyloom.functions.hashing import key_hash
 from surveyloom.operators.classifiers.base import Scaler, scaled
 from surveyloom.session import materialize
 
-PIVOTS = 16
+PIVOTS = 16  # at least, where there are as many blocks
 RINGS = 8
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 4_000
-# Numbers in a training matrix that may be sent to every task (64 MB of doubles).
-SMALL_CELLS = 8_000_000
 _STEP = 256
 
 
@@ -121,9 +119,6 @@ def nearest(
     n = rows.count()
     if not n:
         raise ValueError("no training rows")
-    width = len(rows.select("x").first()["x"])
-    if n <= block_rows and n * width <= SMALL_CELLS:
-        return _against_one_block(rows, query, k, p)
     trips, sent = _routed(rows, query, n, k, p, block_rows, chunk_rows)
 
     def match(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -149,29 +144,11 @@ def nearest(
     return partial.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-def _against_one_block(rows: DataFrame, query: DataFrame, k: int, p: int) -> DataFrame:
-    """Neighbours in a training table that fits one block: the queries stay where they are."""
-    got = rows.toPandas()
-    shared = query.sparkSession.sparkContext.broadcast(
-        (_matrix(got["x"]), got["id"].to_numpy(), got["label"].to_numpy())
-    )
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, ids, labels = shared.value
-        for q in batches:
-            if q.empty:
-                continue
-            who, what, dist = block_top_k(_matrix(q["x"]), x, ids, k, p)
-            yield pd.DataFrame({"x": q["x"].to_numpy()[who], "id": ids[what], "label": labels[what], "dist": dist})
-
-    return query.mapInPandas(match, "x array<double>, id long, label int, dist double")
-
-
 def _routed(
     rows: DataFrame, query: DataFrame, n: int, k: int, p: int, block_rows: int, chunk_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Queries with the blocks they must visit, and training rows with the query chunks that visit them."""
-    pivots = min(PIVOTS, -(-n // block_rows))
+    pivots = min(max(PIVOTS, math.isqrt(n) // 64), -(-n // block_rows))
     rings = min(RINGS, -(-n // (pivots * block_rows)) + 1)
     seeds = rows.select("id", "x").orderBy(key_hash("id", 7)).limit(pivots).collect()
     centres = np.array([r["x"] for r in seeds], dtype=float)

@@ -522,7 +522,8 @@ def tune_space(spark, sf):
 
 @query
 def compare_models(spark, sf):
-    train, test = split_cases(spark, sf)
+    marked = materialize(splits.stratified_split(cases(spark, sf), KEY, LABEL), "cases")
+    train, test = (marked.where(F.col("split") == part).drop("split") for part in ("train", "test"))
     lda = Family("LDA", linear.fit_discriminant, {"shrinkage": Real(0.0, 1.0)})
     stump = Family("AdaBoost", boosted_stumps.fit_adaboost, {"n_estimators": Whole(2, 4)})
     return tuning.compare_models(train, test, [NO_SPACE, lda, SMALL_TREE, stump], _task(scoring="accuracy"), n_iter=2)[0]
