@@ -60,3 +60,18 @@ def test_remote_options(spark):
     assert jdbc.Stride("k", 0, 100, 4).options() == {
         "partitionColumn": "k", "lowerBound": "0", "upperBound": "100", "numPartitions": "4",
     }
+
+
+def test_release_removes_only_what_the_application_stored(spark):
+    import os
+
+    from surveyloom import session
+
+    other = f"{session.shared_dir(spark)}/not-ours-{os.getpid()}".removeprefix("file:")
+    os.makedirs(other)
+    stored = session.materialize(spark.range(3).toDF("k"), "kept")
+    [file] = {f.removeprefix("file://").rpartition("/")[0] for f in stored.inputFiles()}
+    assert os.path.isdir(file)
+    session.release(spark)
+    assert not os.path.exists(file) and os.path.isdir(other)
+    os.rmdir(other)
