@@ -149,6 +149,34 @@ f as (select trial, h, (2 * tp / (2 * tp + fp + fn) * (tp + fn) + 2 * tn / (2 *
 means as (select trial, avg(f1w) as score, stddev_pop(f1w) as spread from f group by trial)"""
 
 
+def _discriminant(shrinkage: float) -> str:
+    """Linear discriminant analysis; the linear system is solved by elimination, a column at a time."""
+    d = len(FEATURES)
+    moments = ", ".join(f"avg({c}) as a_{c}, stddev_pop({c}) as s_{c}" for c in FEATURES)
+    long = " union all ".join(f"select case_id, label, split, {i} as f, ({c} - a_{c}) / s_{c} as z from marked, moments" for i, c in enumerate(FEATURES))
+    steps = ",\n".join(
+        f"e{k + 1} as (select e.i, e.j, case when e.i = {k} then e.v / p.v else e.v - l.v * r.v / p.v end as v from e{k} e "
+        f"join e{k} p on p.i = {k} and p.j = {k} join e{k} l on l.i = e.i and l.j = {k} join e{k} r on r.i = {k} and r.j = e.j)"
+        for k in range(d)
+    )
+    return f"""{SPLIT_SQL},
+moments as (select {moments} from marked where split = 'train'),
+z as ({long}),
+m as (select f, label, avg(z) as m, count(*)::double as n from z where split = 'train' group by f, label),
+centred as (select case_id, z.f, z - m as z from z join m on z.f = m.f and z.label = m.label where split = 'train'),
+cov as (select a.f as i, b.f as j, sum(a.z * b.z) / (select sum(n) from m where f = 0) as v
+        from centred a join centred b on a.case_id = b.case_id group by a.f, b.f),
+gap as (select a.f, b.m - a.m as gap, a.m + b.m as both_m, ln(b.n / a.n) as odds from m a join m b on a.f = b.f and a.label = 0 and b.label = 1),
+e0 as (select i, j, {1 - shrinkage}::double * v + case when i = j then {shrinkage}::double / {d} * (select sum(v) from cov where i = j) else 0 end as v from cov
+       union all select f, {d}, gap from gap),
+{steps},
+w as (select i as f, v as w from e{d} where j = {d}),
+b as (select -0.5::double * sum(both_m * w) + max(odds) as b from w join gap using (f)),
+margins as (select case_id, label, sum(z * w) + any_value(b) as margin from z join w using (f), b where split = 'test' group by case_id, label)
+select case_id, label, case when margin > 0 then 1.0::double else 0.0::double end as prediction,
+  {_r('1 / (1 + exp(-margin))', 'probability')} from margins"""
+
+
 def _linear(tail: str) -> str:
     means = ", ".join(f"avg({c}) as m_{c}" for c in LINEAR_SCORE)
     base = "-10.0::double + " + " + ".join(f"({w}::double) * m_{c}" for c, w in LINEAR_SCORE.items())
@@ -306,6 +334,7 @@ ORACLES: dict[str, str] = {
     "split_counts": f"""{THREE_SQL} select part as split, count(*) as n,
         {_r('count(*)::double / (select count(*) from three)', 'share')} from three group by part""",
     "gaussian_nb": _bayes(),
+    "lda_fit": _discriminant(0.1),
     "cv_score": f"""{_cv_bayes([1e-9])}
         select 'Naive Bayes' as model, round(score, 4) as cv_mean, round(spread, 4) as cv_std from means""",
     "best_trial": f"""{_cv_bayes(SMOOTHINGS)}

@@ -398,7 +398,7 @@ def gaussian_nb(spark, sf):
 @query
 def lda_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(linear.fit_discriminant(train, FEATURES, LABEL, shrinkage=0.1), test)
+    return rounded(_scored(linear.fit_discriminant(train, FEATURES, LABEL, shrinkage=0.1), test), "probability")
 
 
 @query
