@@ -89,7 +89,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     drawn = known.orderBy(F.xxhash64(F.lit(17), "known"), "known").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
     joined = rows.join(F.broadcast(drawn), F.col("doc") == F.col("known"))  # at most max_rows short rows
-    return materialize(joined.select("text", "label"), "toxicity-sample")
+    return materialize(joined.select("text", "label"), "toxicity-sample", spread=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
