@@ -29,7 +29,6 @@ gives an empty table. Other columns are not carried.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
