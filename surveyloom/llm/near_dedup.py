@@ -1,7 +1,8 @@
 """Near-duplicate classes by weighted MinHash.
 
-Documents are sets of shingles of five words weighted by 1 + ln(count) times inverse document frequency (scaled to 1..2). The frequencies are counted over all
-documents in a table of fixed size, indexed by shingle hash. Texts of equal words are one node. Nodes whose signatures
+Documents are sets of shingles of five words weighted by 1 + ln(count) times inverse document frequency (scaled to 1..2). The frequency is that of the
+shingle itself, told apart by 48 bits, counted over all rows. Texts are packed into slices; a slice sends its distinct shingles to blocks of the hash
+range, whose number grows with the text, each block is summed in one task and sends the sums back to the slices. Texts of equal words are one node. Nodes whose signatures
 agree in a band are candidates; a candidate pair is a link if its weighted Jaccard similarity is at least ``threshold``, and a
 class is a connected component of links.
 
@@ -24,7 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +37,10 @@ from surveyloom.llm.arrow_text import slices
 from surveyloom.llm.columns import row_digest, same, spare_names, text_of
 from surveyloom.llm.components import components
 from surveyloom.schema import require_columns
-from surveyloom.session import materialize
+from surveyloom.session import discard, materialize
 
-COUNT_BLOCK = 1 << 14
+#: Bytes of text whose shingles are summed in one block, and the bits of the least number of blocks.
+SUM_BYTES, LEAST_BITS = 32 << 20, 6
 #: Nodes that one task compares with a leader at once; a leader of more is sent to several tasks.
 SALT_NODES = 400
 #: Nodes and bytes of text of a block.
@@ -45,55 +50,153 @@ SCAN_BYTES = 6 << 20
 COLUMNS = 4_096
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per bucket, summed over the task's documents."""
-    total = np.zeros(1 << wm.IDF_BITS, np.int64)
-    for batch in slices(batches, most=SCAN_BYTES):
-        total += np.bincount(wm.Shingles(batch.column("text")).buckets(), minlength=len(total))
-    parts = total.reshape(-1, COUNT_BLOCK)
-    full = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], names=["block", "counts"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slice of documents, compressed."""
+    first = TaskContext.get().partitionId() << 32
+    for k, batch in enumerate(slices(batches, most=SCAN_BYTES)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        size = pc.sum(pc.binary_length(batch.column("text"))).as_py()
+        columns = [pa.array([first + k]), pa.array([batch.num_rows]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "docs", "bytes", "packed"])
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def _count(bits: int):
+    """Per slice and block (leading ``bits`` bits of hash) the distinct shingles, as gaps, and the slice's documents that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.uint64(wm.KNOWN_BITS - bits)
+        for batch in batches:
+            for own, packed in zip(batch.column("slice").to_pylist(), batch.column("packed"), strict=True):
+                known, held = np.unique(wm.Shingles(_unpack(packed).column("text")).known(), return_counts=True)
+                block = (known >> rest).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(block, prepend=-1))
+                gaps = np.diff(known, prepend=np.uint64(0))
+                gaps[cuts] = known[cuts] & ((np.uint64(1) << rest) - np.uint64(1))
+                rows = []
+                for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(known)], strict=False):
+                    part = gaps[low:high]
+                    width = np.uint32 if part.max() < 1 << 32 else np.uint64
+                    rows.append((int(block[low]), own, part.astype(width).tobytes(), held[low:high].astype(np.uint32).tobytes()))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "slice", "gaps", "held"])
+
+    return run
+
+
+def _block_sums(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of a block, their documents, and the place of each shingle of the parts among them."""
+    known, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    return known, np.bincount(place, np.concatenate([p[2] for p in parts])).astype(np.uint32), place
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """Rows come sorted by block; one block is held at a time."""
-    block, total = None, None
+    block, parts = None, []
     for batch in batches:
-        for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            part = np.frombuffer(counts.as_buffer(), np.int64)
-            if k == block:
-                total = total + part
-                continue
-            if block is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()])], names=["block", "counts"])
-            block, total = k, part
-    if block is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()])], names=["block", "counts"])
-
-
-def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """The table of all documents' inverse shingle frequencies; of fixed size, so it may come to the driver."""
-    schema = "block int, counts binary"
-    parts = rows.select("text").mapInArrow(_count, schema).repartition("block").sortWithinPartitions("block")
-    total = np.zeros(1 << wm.IDF_BITS, np.int64)
-    for r in parts.mapInArrow(_sum, schema).collect():
-        total[r["block"] * COUNT_BLOCK : (r["block"] + 1) * COUNT_BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return wm.inverse_frequency(total, rows.count())
-
-
-def _sign(sent):
+        columns = (batch.column("block").to_pylist(), batch.column("slice").to_pylist(), batch.column("gaps"), batch.column("held"))
+        for k, own, gaps, held in zip(*columns, strict=True):
+            if k != block:
+                if parts:
+                    yield block, parts
+                block, parts = k, []
+            held = np.frombuffer(held.as_buffer(), np.uint32)
+            width = np.uint32 if gaps.as_buffer().size == 4 * len(held) else np.uint64
+            parts.append((own, np.cumsum(np.frombuffer(gaps.as_buffer(), width), dtype=np.uint64), held))
+    if parts:
+        yield block, parts
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of all slices that hold the shingles of a slice and block."""
+    for block, parts in _by_block(batches):
+        _, total, place = _block_sums(parts)
+        ends = np.cumsum([len(p[1]) for p in parts])
+        sums = [zstandard.compress(total[at].tobytes()) for at in np.split(place, ends[:-1])]
+        columns = [pa.array([p[0] for p in parts], pa.int64()), pa.array([block] * len(parts), pa.int32()), pa.array(sums, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "block", "data"])
+
+
+def _whole_sums(bits: int):
+    """The same per block, for all slices together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SCAN_BYTES):
-            s = wm.Shingles(batch.column("text"))
-            keys = wm.signatures(s.hashes, s.weights(sent.value), s.starts)
-            bands = [k if n else None for k, n in zip(keys.view(np.int64), s.n_words, strict=True)]
-            exact = s.exact.copy()
-            for k in np.flatnonzero(s.n_words == 0).tolist():  # told apart by the text itself
-                exact[k] = [xxhash.xxh3_64_intdigest(batch.column("text")[k].as_py(), seed) for seed in (1, 2)]
-            exact = exact.view(np.int64)
-            columns = [batch.column("doc"), batch.column("digest"), pa.array(exact[:, 0]), pa.array(exact[:, 1])]
-            names = ["doc", "digest", "e1", "e2", "bands"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], names=names)
+        for block, parts in _by_block(batches):
+            known, total, _ = _block_sums(parts)
+            known = known | (np.uint64(block) << np.uint64(wm.KNOWN_BITS - bits))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([known.tobytes()]), pa.array([total.tobytes()])], names=["block", "known", "held"])
+
+    return run
+
+
+def _packed(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Stored slices of (doc, digest, text), what they send to the blocks, the bits that tell blocks apart, and the number of documents."""
+    schema = "slice long, docs long, bytes long, packed binary"
+    stored = materialize(rows.mapInArrow(_pack, schema), "near-slices")
+    size = stored.agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes")).first()
+    bits = max(LEAST_BITS, (-(-(size["bytes"] or 0) // SUM_BYTES) - 1).bit_length())
+    parts = stored.select("slice", "packed").mapInArrow(_count(bits), "block int, slice long, gaps binary, held binary")
+    return stored, parts.repartition("block").sortWithinPartitions("block"), bits, size["docs"] or 0
+
+
+def inverse_frequencies(rows: DataFrame) -> wm.Frequencies:
+    """The documents of all shingles of a table that the driver can hold, to look at weights outside of the operator."""
+    _, parts, bits, docs = _packed(rows.select("text"))
+    found = parts.mapInArrow(_whole_sums(bits), "block int, known binary, held binary").orderBy("block").collect()
+    known, held = (np.frombuffer(b"".join(r[c] for r in found), t) for c, t in (("known", np.uint64), ("held", np.uint32)))
+    return wm.Frequencies(known, held, docs)
+
+
+def _inverse(s: wm.Shingles, batch: pa.RecordBatch, idf: int | np.ndarray | wm.Frequencies) -> np.ndarray:
+    """By the frequencies that come with the texts, of ``idf`` documents, or else by ``idf`` itself."""
+    if "freq" not in batch.schema.names:
+        return s.inverse(idf)
+    return wm.inverse_frequency(_numbers(batch.column("freq").to_pylist()), idf)
+
+
+def _numbers(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, parts)), np.uint32)
+
+
+def _sign(docs: int):
+    """Rows come sorted by slice and block, the documents first; one slice is held at a time."""
+
+    def close(batch: pa.RecordBatch, sums: list[bytes]) -> pa.RecordBatch:
+        s = wm.Shingles(batch.column("text"))
+        known, place = np.unique(s.known(), return_inverse=True)
+        total = _numbers(sums)
+        if len(total) != len(known):
+            raise ValueError("sums of shingles are missing")
+        freq = total[place]
+        keys = wm.signatures(s.hashes, wm.term_weight(s.counts) * wm.inverse_frequency(freq, docs), s.starts)
+        bands = [k if n else None for k, n in zip(keys.view(np.int64), s.n_words, strict=True)]
+        exact = s.exact.copy()
+        for k in np.flatnonzero(s.n_words == 0).tolist():  # told apart by the text itself
+            exact[k] = [xxhash.xxh3_64_intdigest(batch.column("text")[k].as_py(), seed) for seed in (1, 2)]
+        exact = exact.view(np.int64)
+        held = pa.array([zstandard.compress(freq[a:b].tobytes()) for a, b in zip(s.starts, s.starts[1:], strict=False)], pa.binary())
+        columns = [batch.column("doc"), batch.column("digest"), pa.array(exact[:, 0]), pa.array(exact[:, 1])]
+        names = ["doc", "digest", "e1", "e2", "bands", "freq"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64())), held], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, sums = None, []
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                if block >= 0:
+                    sums.append(data.as_py())
+                    continue
+                if packed is not None:
+                    yield close(_unpack(packed), sums)
+                packed, sums = data, []
+        if packed is not None:
+            yield close(_unpack(packed), sums)
 
     return run
 
@@ -105,7 +208,7 @@ def _compare(sent):
         leader, kept = None, None
         for batch in slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
-            weights = s.weights(sent.value)
+            weights = wm.term_weight(s.counts) * _inverse(s, batch, sent.value)
             out = []
             for k, (a, node) in enumerate(zip(batch.column("a").to_pylist(), batch.column("node").to_pylist(), strict=True)):
                 own = s.hashes[s.starts[k] : s.starts[k + 1]], weights[s.starts[k] : s.starts[k + 1]]
@@ -129,11 +232,12 @@ def compare(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     dealt = pairs.join(sizes, F.col("a") == F.col("c")).select(
         "a", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SALT_NODES)).alias("salt")
     )
-    members = dealt.join(texts, "node").select("a", "salt", "node", "text")
+    held = [c for c in texts.columns if c != "node"]
+    members = dealt.join(texts, "node").select("a", "salt", "node", *held)
     heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "c"), F.col("a") == F.col("c"))
-    rows = members.union(heads.select("a", "salt", F.col("a").alias("node"), "text"))
+    rows = members.union(heads.select("a", "salt", F.col("a").alias("node"), *held))
     order = ["a", "salt", F.col("node") != F.col("a")]
-    rows = rows.repartition("a", "salt").sortWithinPartitions(*order).select("a", "node", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions(*order).select("a", "node", *held)
     return materialize(rows.mapInArrow(_compare(idf), "a long, node long, sim double"), "near-compared")
 
 
@@ -202,7 +306,7 @@ def _blocks(sent, threshold: float):
 
         for batch in slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
-            idf = sent.value[s.buckets()]
+            idf = _inverse(s, batch, sent.value)
             keys = zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j")), strict=True)
             rows = zip(keys, batch.column("node").to_pylist(), batch.column("root").to_pylist(), strict=True)
             for k, (own, node, root) in enumerate(rows):
@@ -230,12 +334,15 @@ def _mixed_links(open_: DataFrame, texts: DataFrame, idf, threshold: float) -> D
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = placed.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(texts, "node")
-    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").select("g", "i", "j", "node", "root", "text")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").select("g", "i", "j", "node", "root", *(c for c in texts.columns if c != "node"))
     return materialize(rows.mapInArrow(_blocks(idf, threshold), "a long, b long"), "near-block-links")
 
 
 def link(buckets: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(node, root): the components of the links of at least ``threshold`` between nodes of one bucket (g, node); roots are not listed."""
+    """(node, root): the components of the links of at least ``threshold`` between nodes of one bucket (g, node); roots are not listed.
+
+    ``idf`` is sent to all: the number of documents if ``texts`` (node, text) have a column ``freq``, the documents of each of their shingles.
+    """
     sizes = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("g", "sg")
     central = buckets.join(sizes, F.col("g") == F.col("sg")).groupBy("node").agg(F.sum("size").alias("score")).withColumnRenamed("node", "cn")
     scored = buckets.join(central, F.col("node") == F.col("cn")).select("g", "node", "score")
@@ -258,6 +365,18 @@ def link(buckets: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return moved.union(upper.select(F.col("old").alias("node"), F.col("new").alias("root")))
 
 
+def signed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, digest, e1, e2, bands, freq) of (doc, digest, text), stored, and the number of rows. ``freq`` holds the documents of each distinct shingle."""
+    stored, parts, _, n = _packed(rows)
+    sums = parts.mapInArrow(_sum, "slice long, block int, data binary")
+    whole = sums.union(stored.select("slice", F.lit(-1).alias("block"), F.col("packed").alias("data")))
+    whole = whole.repartition("slice").sortWithinPartitions("slice", "block")
+    schema = "doc long, digest long, e1 long, e2 long, bands array<long>, freq binary"
+    out = materialize(whole.mapInArrow(_sign(n), schema), "near-signed")
+    discard(stored)
+    return out, n
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc, digest, class_id, first): a row per document (distinct id and text), stored.
 
@@ -266,23 +385,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     require_columns(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     rows = rows.select("doc", row_digest(F.col("doc"), F.col("text")).alias("digest"), "text")
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))
-    schema = "doc long, digest long, e1 long, e2 long, bands array<long>"
-    signed = materialize(rows.mapInArrow(_sign(idf), schema), "near-signed")
+    signs, n = signed(rows)
+    idf = docs.sparkSession.sparkContext.broadcast(n)
     # Texts of equal words are one node; its documents are all signed alike.
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("digest").alias("digest"))
-    nodes = signed.groupBy("e1", "e2").agg(F.min(place).alias("rep"), F.any_value("bands").alias("bands"))
+    nodes = signs.groupBy("e1", "e2").agg(F.min(place).alias("rep"), F.any_value("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     spread = nodes.select("node", F.explode("bands").alias("g"))
     crowded = spread.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("g").alias("cg"))
     buckets = materialize(spread.join(crowded, F.col("g") == F.col("cg")).select("g", "node"), "near-buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc").alias("wd"), F.col("rep.digest").alias("wg"))
     texts = rows.join(wanted, same(rows, wanted, [("doc", "wd"), ("digest", "wg")])).select("node", "text").dropDuplicates(["node"])
+    held = signs.join(wanted, same(signs, wanted, [("doc", "wd"), ("digest", "wg")])).select("node", "freq").dropDuplicates(["node"])
+    texts = texts.join(held, "node")
     roots = link(buckets, materialize(texts, "near-texts"), idf, threshold)
     placed = nodes.select("node", "e1", "e2", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min("rep").alias("best")).withColumnRenamed("root", "fr")
     by_words = placed.join(firsts, F.col("root") == F.col("fr")).select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), "best")
-    out = signed.join(by_words, (F.col("e1") == F.col("k1")) & (F.col("e2") == F.col("k2"))).select("doc", "digest", "best")
+    out = signs.join(by_words, (F.col("e1") == F.col("k1")) & (F.col("e2") == F.col("k2"))).select("doc", "digest", "best")
     first = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("digest") == F.col("best.digest"))
     return materialize(out.select("doc", "digest", F.col("best.doc").alias("class_id"), first.alias("first")).distinct(), "near-classes")
 

@@ -8,6 +8,8 @@ ln a stands for the sample. The draws come from tables that the hash's bits inde
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,6 +20,8 @@ from surveyloom.llm.decontaminate import normal_words
 SHINGLE = 5
 BANDS, ROWS = 10, 3
 IDF_BITS = 20
+#: Leading bits of a shingle's hash by which its documents are counted.
+KNOWN_BITS = 48
 CHUNK = 1 << 15
 
 _draw = np.random.default_rng(20240101)
@@ -56,7 +60,11 @@ class Shingles:
         h, at = mix(h[whole]), owner[:size][whole]
         short = np.flatnonzero((self.n_words > 0) & (self.n_words < SHINGLE))
         h, at = np.concatenate([h, self.exact[short, 0]]), np.concatenate([at, short])
-        order = np.argsort((at.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+        key = (at.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+        order = np.argsort(key)
+        key = key[order]
+        if ((key[1:] == key[:-1]) & (h[order[1:]] != h[order[:-1]])).any():  # the order must not depend on the other texts
+            order = np.lexsort((h, at))
         h, at = h[order], at[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
@@ -81,8 +89,27 @@ class Shingles:
     def buckets(self) -> np.ndarray:
         return (self.hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)
 
-    def weights(self, idf: np.ndarray) -> np.ndarray:
-        return term_weight(self.counts) * idf[self.buckets()]
+    def known(self) -> np.ndarray:
+        return self.hashes >> np.uint64(64 - KNOWN_BITS)
+
+    def inverse(self, idf: np.ndarray | Frequencies) -> np.ndarray:
+        """``idf`` holds values by leading hash bits, or counted documents."""
+        return idf.inverse(self.known()) if isinstance(idf, Frequencies) else idf[self.buckets()]
+
+    def weights(self, idf: np.ndarray | Frequencies) -> np.ndarray:
+        return term_weight(self.counts) * self.inverse(idf)
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """Documents per shingle; ``known`` is sorted."""
+
+    known: np.ndarray
+    held: np.ndarray
+    docs: int
+
+    def inverse(self, known: np.ndarray) -> np.ndarray:
+        return inverse_frequency(self.held[np.searchsorted(self.known, known)], self.docs)
 
 
 def term_weight(counts: np.ndarray) -> np.ndarray:
@@ -90,14 +117,14 @@ def term_weight(counts: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(counts)
 
 
-def inverse_frequency(docs_by_bucket: np.ndarray, docs: int) -> np.ndarray:
+def inverse_frequency(held: np.ndarray, docs: int) -> np.ndarray:
     """1 + ln(docs / frequency) / ln(docs + 1), from 1 (in every document) to 2.
 
     The plain logarithm would let the edits in a large group of copies outweigh what its members share, whose frequency
     the group itself makes high.
     """
     docs = max(docs, 1)
-    return 1.0 + np.log(docs / np.clip(docs_by_bucket, 1, docs)) / np.log(docs + 1)
+    return 1.0 + np.log(docs / np.clip(held, 1, docs)) / np.log(docs + 1)
 
 
 def signatures(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -42,6 +42,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def discard(stored: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing will read any more."""
+    spark = stored.sparkSession
+    for file in stored.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 

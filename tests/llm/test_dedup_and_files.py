@@ -170,6 +170,38 @@ def test_blocks_find_links_that_the_leader_misses(spark, monkeypatch, block):
     assert got == {**{k: 0 for k in range(1, 7)}, 8: 7}
 
 
+def _true_weights(texts):
+    """Weights of the shingles of each text, from sets of words as they are."""
+    shingles = []
+    for text in texts:
+        w = plain.words(text)
+        shingles.append(collections.Counter(tuple(w[k : k + wm.SHINGLE]) for k in range(max(1, len(w) - wm.SHINGLE + 1)) if w))
+    held = collections.Counter(x for s in shingles for x in s)
+    n = len(texts)
+    idf = {x: 1 + np.log(n / c) / np.log(n + 1) for x, c in held.items()}
+    return held, [sorted((1 + np.log(c)) * idf[x] for x, c in s.items()) for s in shingles]
+
+
+@pytest.mark.parametrize("bits", [6, 9])
+def test_documents_are_counted_per_shingle(spark, monkeypatch, bits):
+    """One long text does not raise the frequencies of the others' shingles, and a shingle twice in a text counts once."""
+    monkeypatch.setattr(near_dedup, "LEAST_BITS", bits, raising=False)
+    docs = [*(t for _, t in _near_docs(8, 3, 12)), " ".join(f"x{k}" for k in range(60_000)), "a b c d e f a b c d e f", None, "", "one two"]
+    docs = [t or "" for t in docs]
+    df = spark.createDataFrame(list(enumerate(docs)), TEXTS).repartition(5)
+    held, weights = _true_weights(docs)
+    s = wm.Shingles(pa.array(docs))
+    got = s.weights(near_dedup.inverse_frequencies(df))
+    for a, b, want in zip(s.starts, s.starts[1:], weights, strict=False):
+        assert np.allclose(np.sort(got[a:b]), want)
+    rows = near_dedup.signed(df.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("digest"), "text"))[0].collect()
+    found = {r.doc: sorted(near_dedup._numbers([r.freq]).tolist()) for r in rows}
+    for k, text in enumerate(docs):
+        w = plain.words(text)
+        own = {tuple(w[i : i + wm.SHINGLE]) for i in range(max(1, len(w) - wm.SHINGLE + 1)) if w}
+        assert found[k] == sorted(held[x] for x in own)
+
+
 def test_shared_weights_equal_those_of_pairs():
     draw = np.random.default_rng(9)
     members = []
