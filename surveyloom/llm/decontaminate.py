@@ -8,6 +8,8 @@ at least ``agree`` of its words counts. A document is contaminated if such a str
 it has fewer).
 
 With the masks below, every stretch of 12 words with 2 replaced, 15 with 3 or 16 with 3 holds a hit (the tests try all).
+Items of fewer than 12 words count as a whole only, so they have masks by their size, laid at their first word: the words between the first and the last are cut into one group more
+than may be replaced, and each mask takes one group (all but a part of it for 5 words).
 
 The benchmark is taken in blocks of bounded size, each sent to the tasks; the documents are scanned once per block and
 are not shuffled. Only hits travel.
@@ -38,8 +40,16 @@ from surveyloom.schema import require_columns
 from surveyloom.session import materialize
 
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 7, 9, 10), (0, 1, 5, 6, 8, 9), (0, 1, 2, 3, 4, 6))
-#: For items of 5 or 6 words, which no mask above fits.
-SHORT_MASKS = {5: (0, 1, 2, 3, 4), 6: (0, 1, 2, 3, 4, 5)}
+#: By the number of words of an item: first, last and, of the groups that the others are cut into, one or (5 words) all but one.
+SHORT_MASKS = {
+    5: ((0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 2, 5), (0, 3, 4, 5)),
+    7: ((0, 1, 2, 3, 6), (0, 4, 5, 6)),
+    8: ((0, 1, 2, 3, 7), (0, 4, 5, 6, 7)),
+    9: ((0, 1, 2, 3, 4, 8), (0, 5, 6, 7, 8)),
+    10: ((0, 1, 2, 3, 9), (0, 4, 5, 6, 9), (0, 7, 8, 9)),
+    11: ((0, 1, 2, 3, 10), (0, 4, 5, 6, 10), (0, 7, 8, 9, 10)),
+}
 BLOCK_CHARS = 4 << 20  # characters of items in a block
 HIT_CHUNK = 1 << 20  # hits that are looked at together
 
@@ -89,13 +99,15 @@ class Block:
         self.ids = (forms.indices.to_numpy(zero_copy_only=False)[words.codes] + 1).astype(np.int32)
         self.starts = words.starts
         sizes = np.diff(words.starts)
-        self.masks = [*MASKS, *(m for n, m in SHORT_MASKS.items() if n >= rules.short and (sizes == n).any())]
+        whole = [(n, m) for n, masks in SHORT_MASKS.items() if n >= rules.short and (sizes == n).any() for m in masks]
+        self.masks = [*MASKS, *(m for _, m in whole)]
         enough = sizes >= rules.short
         items = words.texts
         self.tables = []
-        for salt, mask in enumerate(self.masks):
+        for salt, (size, mask) in enumerate([*((None, m) for m in MASKS), *whole]):
             at, h = _seeds(self.ids, items, mask, salt)
-            at, h = at[enough[items[at]]], h[enough[items[at]]]
+            used = enough[items[at]] if size is None else (sizes[items[at]] == size) & (at == words.starts[items[at]])
+            at, h = at[used], h[used]
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], at[order]))
         self.items = items

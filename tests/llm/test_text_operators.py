@@ -139,6 +139,32 @@ def test_masks_hit_every_tolerated_pattern():
             ), (size, wrong)
 
 
+@pytest.mark.parametrize("size", range(5, 12))
+def test_short_items_are_hit_at_every_tolerated_pattern(size):
+    """All sets of replaced words, and one more than is tolerated."""
+    draw = np.random.default_rng(size)
+    item = " ".join(f"w{i}" for i in range(size))
+    block = decontaminate.Block([7, 8], [item, ITEM.replace("w", "v")], decontaminate.Rules())
+    for n in range(size // 5 + 2):
+        for wrong in itertools.combinations(range(size), n):
+            text = f"some {_swap(item, *wrong)} words" if draw.random() < 0.5 else _swap(item, *wrong)
+            found = block.find(decontaminate.normal_words(pa.array(["w1 w2", text])))
+            right = n <= size // 5 and not {0, size - 1} & {*wrong}
+            assert plain.contaminated(text, [item]) == right
+            assert found == ([(1, 7, size, size - n)] if right else []), wrong
+
+
+def test_short_items_in_the_report(spark):
+    items = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in range(4, 12)}
+    docs = [(n, f"a text with {_swap(t, 2, *([5] if n > 9 else []))} in it") for n, t in items.items()]
+    docs += [(n + 100, f"a text with {_swap(t, 1, 2, *([5] if n > 9 else []))} in it") for n, t in items.items()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.overlap_words, r.equal_words) for r in decontaminate.report(df, benchmark).collect() if r.contaminated}
+    assert got == {n: (n, n, n - (2 if n > 9 else 1)) for n in range(5, 12)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, benchmark).collect()} == {d for d, _ in docs} - set(got)
+
+
 def test_longest_stretch_against_all_stretches():
     draw = np.random.default_rng(3)
     for _ in range(300):
