@@ -84,4 +84,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from j
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_url_filters": OP2, "op5_quality_rules": OP5}
+
+def _nearest(r: int) -> str:
+    """Assignment ``a{r}`` of every vector to the nearest of the centroids ``c{r}``."""
+    return f"""
+p{r} as (
+  select v.vec_id, v.v, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from v cross join c{r} c),
+a{r} as (
+  select vec_id, v, c, d from p{r} qualify row_number() over (partition by vec_id order by d, c) = 1),"""
+
+
+def _centroids(r: int) -> str:
+    """Centroids ``c{r}`` from the assignment of the round before; floors of means, also of negative sums."""
+    return f"""
+s{r} as (
+  select c, i, sum(x) as s, count(*) as n
+  from (select c, unnest(range(1, 65)) as i, unnest(v) as x from a{r - 1}) group by c, i),
+m{r} as (
+  select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from s{r} group by c),
+c{r} as (
+  select c{r - 1}.c, coalesce(m{r}.v, c{r - 1}.v) as v from c{r - 1} left join m{r} on c{r - 1}.c = m{r}.c),"""
+
+
+OP11 = f"""
+with v as (
+  select vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)::bigint) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as (
+  select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v from v order by 1 limit 16),
+{_nearest(0)}{"".join(_centroids(r) + _nearest(r) for r in (1, 2, 3))}
+own as (
+  select c, sum(d)::bigint as own from a3 group by c)
+select a3.vec_id, a3.c::int as cluster, a3.d as distance, own.own as cluster_inertia,
+       (select sum(d)::bigint from a3) as inertia, sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join own on a3.c = own.c join c3 on a3.c = c3.c
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_url_filters": OP2, "op5_quality_rules": OP5, "op11_centroid_clustering": OP11}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_files, toxicity, url_rules, warc
+from surveyloom.llm import centroids, decontaminate, language_id, line_dedup, near_dedup, packing, periodic_runs, quality_rules, suffix_dedup, token_files, toxicity, url_rules, warc
+from surveyloom.llm.columns import let
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -73,7 +74,53 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents, with the words of every tenth id (by CRC-32) made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        first = g % n
+        period = 1 + F.floor((n - first) / (3 + g % 8))
+        at = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        return F.array_join(F.transform(words, lambda w, i: F.get(words, at(i.cast("long")).cast("int"))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    periodic = let(words, lambda held: F.when(F.size(held) > 0, planted(held)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.collapse_runs(planted_periods(_table(spark, sf_dir, "documents")), keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    longer = lambda best, r: F.when(r.length * best.period > best.length * r.period, r).otherwise(best)
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", F.get("runs", F.lit(0)), longer))  # runs lie in the order of ties
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held_out))
+    predicted = language_id.predict(docs, model, keep=["doc_id"])
+    return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_toxicity, op9_minhash_near_dedup, op10_best_fit_packing)
+    for q in (op1_line_dedup, op2_url_filters, op3_token_files, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_toxicity, op9_minhash_near_dedup, op10_best_fit_packing, op11_centroid_clustering, op12_periodic_runs, op13_language_id)
 }
