@@ -40,14 +40,14 @@ from surveyloom.schema import require_columns
 from surveyloom.session import discard, materialize
 
 #: Bytes of text whose shingles are summed in one block, and the bits of the least number of blocks.
-SUM_BYTES, LEAST_BITS = 32 << 20, 6
+SUM_BYTES, LEAST_BITS = 4 << 20, 6
 #: Nodes that one task compares with a leader at once; a leader of more is sent to several tasks.
 SALT_NODES = 400
 #: Nodes and bytes of text of a block.
-BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
+BLOCK_NODES, BLOCK_BYTES = 512, 2 << 20
 #: Bytes of text whose shingles are held at once.
-SCAN_BYTES = 6 << 20
-COLUMNS = 4_096
+SCAN_BYTES = 3 << 20
+COLUMNS = 2_048
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

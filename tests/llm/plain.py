@@ -5,13 +5,11 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
-
-from surveyloom.llm import weighted_minhash as wm
 
 
 def read(spark, sf_dir, name):
@@ -54,15 +52,35 @@ def words(text: str) -> list[str]:
     return [w for w in found if w]
 
 
-def near_classes(docs: list[tuple[int, str]], idf: np.ndarray, threshold: float = 0.8) -> dict[int, int]:
-    """Class of each id by comparing all documents that share a shingle."""
-    s = wm.Shingles(pa.array([t for _, t in docs]))
-    weights = s.weights(idf)
-    sets = [(s.hashes[a:b], weights[a:b]) for a, b in zip(s.starts, s.starts[1:], strict=False)]
+def shingle_counts(text: str) -> collections.Counter:
+    """Runs of five words with their counts; a text of one to four words is one shingle."""
+    own = words(text or "")
+    if 0 < len(own) < 5:
+        return collections.Counter([tuple(own)])
+    return collections.Counter(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+
+
+def shingle_weights(docs: list[tuple[int, str]]) -> list[dict[tuple, float]]:
+    """(1 + ln count) times (1 + ln(documents / documents with it) / ln(documents + 1)) of each document's shingles."""
+    counted = [shingle_counts(t) for _, t in docs]
+    held = collections.Counter(s for c in counted for s in c)
+    n = len(docs)
+    return [{s: (1 + math.log(k)) * (1 + math.log(n / held[s]) / math.log(n + 1)) for s, k in c.items()} for c in counted]
+
+
+def weighted_jaccard(a: dict[tuple, float], b: dict[tuple, float]) -> float:
+    shared = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    total = sum(a.values()) + sum(b.values()) - shared
+    return shared / total if total else 0.0
+
+
+def near_classes(docs: list[tuple[int, str]], threshold: float = 0.8) -> dict[int, int]:
+    """Class of each id by comparing all documents that share a shingle; nothing here comes from the operator."""
+    sets = shingle_weights(docs)
     holders = collections.defaultdict(list)
-    for k, (hashes, _) in enumerate(sets):
-        for h in hashes.tolist():
-            holders[h].append(k)
+    for k, own in enumerate(sets):
+        for s in own:
+            holders[s].append(k)
     root = list(range(len(docs)))
 
     def find(k):
@@ -73,11 +91,11 @@ def near_classes(docs: list[tuple[int, str]], idf: np.ndarray, threshold: float
     pairs = {p for held in holders.values() for p in itertools.combinations(held, 2)}
     by_text = collections.defaultdict(list)
     for k, (_, text) in enumerate(docs):
-        if not s.n_words[k]:
+        if not sets[k]:
             by_text[text or ""].append(k)
     pairs |= {(held[0], k) for held in by_text.values() for k in held[1:]}
     for a, b in pairs:
-        if not s.n_words[a] or wm.similarity(sets[a], sets[b]) >= threshold:
+        if not sets[a] or weighted_jaccard(sets[a], sets[b]) >= threshold:
             a, b = sorted((find(a), find(b)), key=lambda k: docs[k][0])
             root[b] = a
     return {docs[k][0]: docs[find(k)][0] for k in range(len(docs))}

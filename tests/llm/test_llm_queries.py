@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from surveyloom.llm import near_dedup, toxicity
+from surveyloom.llm import toxicity
 from surveyloom.llm.oracle import ORACLES
 from surveyloom.llm.registry import QUERIES
 
@@ -94,9 +94,8 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_near_classes(spark, docs):
-    idf = near_dedup.inverse_frequencies(spark.read.parquet(f"{SMALL}/documents.parquet"))
     got = _run(spark, "op9_minhash_near_dedup")
-    assert {k: r.class_id for k, r in got.items()} == plain.near_classes(docs, idf)
+    assert {k: r.class_id for k, r in got.items()} == plain.near_classes(docs)
     assert all(r.kept == (r.class_id == k) for k, r in got.items())
 
 
@@ -119,8 +118,7 @@ def test_pipeline_equals_plain_python(spark):
         if model.intercept + sum(model.weights.get(g, 0.0) for g in grams) < 0:
             left[r.doc_id] = r.text
     left = plain.drop_lines(list(left.items()))
-    idf = near_dedup.inverse_frequencies(spark.createDataFrame(list(left.items()), "doc_id long, text string"))
-    classes = plain.near_classes(sorted(left.items()), idf)
+    classes = plain.near_classes(sorted(left.items()))
     items = [r.text for r in plain.read(spark, SMALL, "benchmark")]
     left = {d: t for d, t in left.items() if classes[d] == d and not plain.contaminated(t, items)}
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
