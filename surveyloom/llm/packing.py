@@ -1,8 +1,10 @@
 """Best-fit packing in a tree of partitions.
 
-Each task encodes its documents, cuts those longer than a sequence into full pieces and a rest, and packs its pieces
+Tasks encode the documents and cut those longer than a sequence into full pieces and a rest. The pieces, rows of a few numbers, are dealt
+to leaves by hash, so that every leaf sees the mix of lengths, however the documents were stored. A leaf packs its pieces
 best-fit, longest first. Bins with hardly any room left are emitted. The others go up a tree as single items: each inner
-node packs the bins of its children best-fit again, and emits what is nearly full, until the root emits all.
+node packs the bins of its children best-fit again, and emits what is nearly full, until the root emits all. A leaf of very many
+pieces packs them in batches, which are leaves of the tree like any other.
 
 At most one bin of a node is at most half full (two of them would have been put together), so a node has use for no more
 roomy bins than there are leaves; it hands on the ``max_up`` roomiest and emits the rest, which bounds every node.
@@ -69,14 +71,19 @@ def goes_up(used: np.ndarray, capacity: int, slack: int, max_up: int) -> np.ndar
     return up
 
 
-_PLACED = T.StructType(
+_PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
-        T.StructField("leaf", T.IntegerType()),
+    ]
+)
+_PLACED = T.StructType(
+    [
+        *_PIECES,
+        T.StructField("leaf", T.LongType()),
         T.StructField("bin", T.LongType()),
         T.StructField("place", T.LongType()),
         T.StructField("used", T.LongType()),
@@ -85,42 +92,49 @@ _PLACED = T.StructType(
 )
 
 
-def _leaf(path: str, end_id: int, capacity: int, slack: int, max_up: int):
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, starts = token_ids.with_end(*token_ids.encoder(path).encode(batch.column("text")), end_id)
-        sizes = np.diff(starts)
-        pieces = -(-sizes // capacity)
-        doc = np.repeat(np.arange(len(sizes)), pieces)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = piece * capacity
-        length = np.minimum(sizes[doc] - begin, capacity)
-        raw = memoryview(ids.astype("<u4").tobytes())
-        at = (starts[doc] + begin) * 4
-        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
-        columns = [batch.column("doc_id").take(pa.array(doc)), piece.astype(np.int32), begin, length, np.array(crc, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.name for f in _PLACED][:5])
-
-    def pack(cuts: list[pa.RecordBatch], base: int) -> tuple[pa.RecordBatch, int]:
+def _cut(path: str, end_id: int, capacity: int):
+    """The pieces of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, starts = token_ids.with_end(*token_ids.encoder(path).encode(batch.column("text")), end_id)
+            sizes = np.diff(starts)
+            pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = piece * capacity
+            length = np.minimum(sizes[doc] - begin, capacity)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            at = (starts[doc] + begin) * 4
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), piece.astype(np.int32), begin, length, np.array(crc, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_PIECES.names)
+
+    return run
+
+
+def _leaf(capacity: int, slack: int, max_up: int, most: int):
+    def pack(cuts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         items = pa.Table.from_batches(cuts).combine_chunks().to_batches()[0]
         bins, places, used = best_fit(items.column("length").to_numpy(), capacity)
         up = goes_up(used, capacity, slack, max_up)
-        leaf = TaskContext.get().partitionId()
-        more = [np.full(len(bins), leaf, np.int32), (np.int64(leaf) << 40) + base + bins, places, used[bins], up[bins]]
-        columns = [*items.columns, *map(pa.array, more)]
-        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in _PLACED]), base + len(used)
+        leaf = (np.int64(TaskContext.get().partitionId()) << 16) + number
+        more = [np.full(len(bins), leaf), (leaf << 20) + bins, places, used[bins], up[bins]]
+        return pa.RecordBatch.from_arrays([*items.columns, *map(pa.array, more)], names=_PLACED.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts: list[pa.RecordBatch] = []
-        held = base = 0
-        for batch in slices(batches):
-            cuts.append(cut(batch))
-            held += cuts[-1].num_rows
-            if held >= LEAF_PIECES:
-                packed, base = pack(cuts, base)
-                yield packed
-                cuts, held = [], 0
+        held = number = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                if cuts and held + batch.num_rows > most:
+                    yield pack(cuts, number)
+                    cuts, held, number = [], 0, number + 1
+                cuts.append(batch)
+                held += batch.num_rows
         if held:
-            yield pack(cuts, base)[0]
+            yield pack(cuts, number)
 
     return run
 
@@ -176,15 +190,23 @@ def pack(
     slack: int = 16,
     max_up: int = 4096,
     fan_in: int = 16,
+    leaf_pieces: int = LEAF_PIECES,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has. ``slack`` is the room that counts as none.
     """
     require_columns(docs, id_col, text_col)
+    if not 0 < leaf_pieces <= 1 << 20:
+        raise ValueError("leaf_pieces must be 1 to 2^20")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = materialize(rows.mapInArrow(_leaf(tokenizer, end_id, capacity, slack, max_up), _PLACED), "packing-leaf")
-    bins = placed.where("up and place = 0").select("bin", F.col("leaf").alias("node"), "used")
+    pieces = rows.mapInArrow(_cut(tokenizer, end_id, capacity), _PIECES)
+    draw = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    dealt = pieces.repartition(draw).sortWithinPartitions(draw)  # every batch of a leaf sees the mix, too
+    placed = materialize(dealt.mapInArrow(_leaf(capacity, slack, max_up, leaf_pieces), _PLACED), "packing-leaf")
+    leaves = sorted(r["leaf"] for r in placed.select("leaf").distinct().collect())  # one per task and batch
+    numbers = docs.sparkSession.createDataFrame(list(zip(leaves, range(len(leaves)), strict=True)), "number_of long, node int")
+    bins = placed.where("up and place = 0").join(F.broadcast(numbers), F.col("leaf") == F.col("number_of")).select("bin", "node", "used")
     moved = merge_up(bins, capacity, slack, max_up, fan_in).where("bin != target or shift != 0").withColumnRenamed("bin", "moved_bin")
     joined = placed.join(moved, placed["bin"] == moved["moved_bin"], "left")
     return joined.select(

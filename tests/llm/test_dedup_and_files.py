@@ -361,6 +361,21 @@ def test_packing_pieces_and_tree(spark):
         assert -(-sum(map(len, ids.values())) // capacity) <= best <= n <= 1.05 * best + 1
 
 
+@pytest.mark.parametrize("layout", ["sorted", "two parts", "one part", "mixed"])
+@pytest.mark.parametrize("leaf_pieces,more", [(200_000, 1.01), (37, 1.1)])  # leaves of a few pieces can't all hold half long ones
+def test_packing_does_not_depend_on_how_lengths_are_stored(spark, layout, leaf_pieces, more):
+    """Long documents in one part and short ones in another need as few sequences as one best fit over all pieces."""
+    docs = [(k, " ".join(["the"] * (1100 if k < 200 else 900))) for k in range(400)]
+    ids = _ids(docs, 0)
+    lengths = np.array([len(v) for v in ids.values()])
+    best = len(packing.best_fit(lengths, 2048)[2])
+    assert best == 200
+    df = spark.createDataFrame(docs, TEXTS)
+    df = {"sorted": df.repartitionByRange(8, "doc_id"), "two parts": df.repartitionByRange(2, "doc_id"), "one part": df.coalesce(1), "mixed": df.repartition(8)}[layout]
+    rows = packing.pack(df, PATH, leaf_pieces=leaf_pieces, fan_in=4).collect()
+    assert plain.check_packing(rows, ids, 2048) <= more * best
+
+
 def test_tree_puts_half_full_bins_together(spark):
     bins = spark.createDataFrame([(k << 40, k, 900) for k in range(9)], "bin long, node int, used long")
     moved = packing.merge_up(bins, 2048, 16, 4096, 2).collect()
