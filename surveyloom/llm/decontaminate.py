@@ -17,8 +17,8 @@ are not shuffled. Only hits travel.
 Words are runs between white space, lower-cased, without what is neither letter nor digit; runs with none are no words.
 
 Cases: null and empty texts are clean. Items with fewer than ``short`` words are too short to tell and match nothing.
-Items of one text match alike, and the smallest item id is reported. Rows equal in id and text get the same result. Null
-ids are ids. Empty tables on either side are fine. Further columns of documents pass through ``drop_contaminated``.
+Items of one text match alike, and the smallest item id is reported, null as the last. Rows equal in id and text get the same result. Null
+ids are ids, of items too. Text of one repeated word meets an item of such text at each shift once, however many places agree. Empty tables on either side are fine. Further columns of documents pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -88,14 +88,23 @@ def _seeds(ids: np.ndarray, texts: np.ndarray, mask: tuple[int, ...], salt: int)
     return at, seed_hash(ids, at, mask, salt)
 
 
+def _runs(at: np.ndarray, h: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first place, number of places) of neighbouring places of one text that share a hash."""
+    if not len(at):
+        return h, at, at
+    opens = np.concatenate(([True], (np.diff(at) != 1) | (h[1:] != h[:-1]) | (texts[1:] != texts[:-1])))
+    begin = np.flatnonzero(opens)
+    return h[begin], at[begin], np.diff(np.append(begin, len(at)))
+
+
 class Block:
     """Some benchmark items, ready to be matched."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], rules: Rules):
+    def __init__(self, item_ids: list[tuple[int, int | None]], texts: list[str], rules: Rules):
         words = normal_words(pa.array(texts, pa.string()))
         forms = words.vocabulary.dictionary_encode()
         self.known = forms.dictionary
-        self.rules, self.item_ids = rules, np.array(item_ids, np.int64)
+        self.rules, self.item_ids = rules, item_ids  # (number, id) of each
         self.ids = (forms.indices.to_numpy(zero_copy_only=False)[words.codes] + 1).astype(np.int32)
         self.starts = words.starts
         sizes = np.diff(words.starts)
@@ -108,48 +117,64 @@ class Block:
             at, h = _seeds(self.ids, items, mask, salt)
             used = enough[items[at]] if size is None else (sizes[items[at]] == size) & (at == words.starts[items[at]])
             at, h = at[used], h[used]
+            h, first, size = _runs(at, h, items[at])
             order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], at[order]))
+            self.tables.append((h[order], first[order], size[order]))
         self.items = items
 
-    def hits(self, ids: np.ndarray, texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a word place in the documents and one in the items, in chunks."""
-        for salt, (mask, (hashes, places)) in enumerate(zip(self.masks, self.tables, strict=True)):
+    def shifts(self, ids: np.ndarray, texts: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers of (text, item, shift) with a hit, in chunks, each sorted and without repeats.
+
+        Neighbouring places of one hash are a run, in documents and items. Two runs meet at as many shifts as both have places together, less one, so
+        text that repeats itself costs its length and not its square.
+        """
+        for salt, (mask, (hashes, first, size)) in enumerate(zip(self.masks, self.tables, strict=True)):
             at, h = _seeds(ids, texts, mask, salt)
-            first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            some = first < last
-            at, first, count = at[some], first[some], (last - first)[some]
+            h, begin, length = _runs(at, h, texts[at])
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            some = low < high
+            begin, length, low, count = begin[some], length[some], low[some], (high - low)[some]
             ends = np.cumsum(count)
             done = 0
-            while done < len(at):
+            while done < len(begin):
                 before = ends[done - 1] if done else 0
                 stop = max(done + 1, int(np.searchsorted(ends, before + HIT_CHUNK, "right")))
                 part = count[done:stop]
-                run = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-                yield np.repeat(at[done:stop], part), places[np.repeat(first[done:stop], part) + run]
+                k = np.repeat(low[done:stop], part) + np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+                place, many = np.repeat(begin[done:stop], part), np.repeat(length[done:stop], part)
+                least, width = place - (first[k] + size[k] - 1), many + size[k] - 1
+                text, item = texts[place], self.items[first[k]]
+                each = np.repeat(least, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                yield np.unique(np.repeat(text * len(self.item_ids) + item, width) * (len(ids) + len(self.ids)) + each + len(self.ids))
                 done = stop
 
+    def named(self, number: np.ndarray, words: int) -> list[tuple[int, int, int]]:
+        """The (text, item, shift) that a number stands for, in texts of so many words."""
+        pair, shift = np.divmod(number, words + len(self.ids))
+        return list(zip(*(x.tolist() for x in np.divmod(pair, len(self.item_ids))), (shift - len(self.ids)).tolist(), strict=True))
+
     def find(self, words: Words) -> list[tuple[int, int, int, int]]:
-        """(text, item, words, equal words) of the stretches that count, the longest per text and item."""
+        """(text, item number, item id, words, equal words) of the stretches that count, the longest per text and item."""
         place = pc.index_in(words.vocabulary, value_set=self.known)
         ids = (pc.fill_null(place, -1).to_numpy(zero_copy_only=False) + 1).astype(np.int32)[words.codes]
         texts = words.texts
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for at, place in self.hits(ids, texts):
-            shifts = np.unique(np.stack([texts[at], self.items[place], at - place]), axis=1).T.tolist()
-            for text, item, shift in shifts:
-                if (text, item, shift) in seen:
-                    continue
-                seen.add((text, item, shift))
+        seen = np.empty(0, np.int64)
+        for numbers in self.shifts(ids, texts):
+            new = np.setdiff1d(numbers, seen, assume_unique=True)
+            seen = np.union1d(seen, new)
+            for text, item, shift in self.named(new, len(ids)):
                 a, b = int(self.starts[item]), int(self.starts[item + 1])
                 low = max(a, int(words.starts[text]) - shift)
                 high = min(b, int(words.starts[text + 1]) - shift)
+                have = best.get((text, item), (0, 0))
+                if high - low < max(have[0], min(self.rules.least, b - a)) or have[1] == b - a:
+                    continue  # no stretch of this shift can be longer
                 equal = self.ids[low:high] == ids[low + shift : high + shift]
                 stretch, agreed = longest_stretch(equal, self.rules.agree)
-                if stretch >= min(self.rules.least, b - a) and (stretch, agreed) > best.get((text, item), (0, 0)):
+                if stretch >= min(self.rules.least, b - a) and (stretch, agreed) > have:
                     best[text, item] = (stretch, agreed)
-        return [(text, int(self.item_ids[item]), *size) for (text, item), size in best.items()]
+        return [(text, *self.item_ids[item], *size) for (text, item), size in best.items()]
 
 
 def longest_stretch(equal: np.ndarray, agree: Fraction) -> tuple[int, int]:
@@ -172,6 +197,7 @@ _HITS = T.StructType(
     [
         T.StructField("doc", T.LongType()),
         T.StructField("digest", T.LongType()),
+        T.StructField("number", T.LongType()),
         T.StructField("item", T.LongType()),
         T.StructField("overlap", T.IntegerType()),
         T.StructField("agreed", T.IntegerType()),
@@ -187,7 +213,7 @@ def _match(block):
             if found:
                 at = pa.array([f[0] for f in found])
                 columns = [batch.column("doc").take(at), batch.column("digest").take(at)]
-                columns += [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))]
+                columns += [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in _HITS])
 
     return run
@@ -195,12 +221,13 @@ def _match(block):
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, rules: Rules, block_chars: int) -> Iterator[Block]:
     """The items in blocks of about ``block_chars`` characters, each collected on its own."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("text"))
+    items = items.select(F.xxhash64("item", "text").alias("number"), "item", "text").dropDuplicates(["number"])
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item").collect()
-        yield Block([r["item"] for r in part], [r["text"] for r in part], rules)
+        part = items.where(F.pmod("number", F.lit(blocks)) == k).orderBy("item", "number").collect()
+        yield Block([(r["number"], r["item"]) for r in part], [r["text"] for r in part], rules)
 
 
 def find_overlaps(
@@ -213,7 +240,7 @@ def find_overlaps(
     rules: Rules = Rules(),
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(doc, digest, item, overlap, agreed): a row per document and item that overlap, stored."""
+    """(doc, digest, number, item, overlap, agreed): a row per document and item that overlap, stored. ``number`` tells items of one id or of none apart."""
     require_columns(docs, id_col, text_col)
     require_columns(benchmark, item_col, item_text_col)
     spark = docs.sparkSession
@@ -228,10 +255,10 @@ def find_overlaps(
 
 def contaminated_documents(overlaps: DataFrame) -> DataFrame:
     """(doc, digest, n_items, item, overlap, agreed): one row per contaminated document with its longest overlap."""
-    longest = F.struct(F.col("overlap"), F.col("agreed"), (-F.col("item")).alias("back"))
+    longest = F.struct(F.col("overlap"), F.col("agreed"), F.col("item").isNotNull().alias("known"), (-F.col("item")).alias("back"))
     return (
         overlaps.groupBy("doc", "digest")
-        .agg(F.count(F.lit(1)).alias("n_items"), F.max(longest).alias("best"))
+        .agg(F.count_distinct("number").alias("n_items"), F.max(longest).alias("best"))
         .select("doc", "digest", "n_items", (-F.col("best.back")).alias("item"), "best.overlap", "best.agreed")
     )
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import plain
@@ -144,14 +145,14 @@ def test_short_items_are_hit_at_every_tolerated_pattern(size):
     """All sets of replaced words, and one more than is tolerated."""
     draw = np.random.default_rng(size)
     item = " ".join(f"w{i}" for i in range(size))
-    block = decontaminate.Block([7, 8], [item, ITEM.replace("w", "v")], decontaminate.Rules())
+    block = decontaminate.Block([(1, 7), (2, 8)], [item, ITEM.replace("w", "v")], decontaminate.Rules())
     for n in range(size // 5 + 2):
         for wrong in itertools.combinations(range(size), n):
             text = f"some {_swap(item, *wrong)} words" if draw.random() < 0.5 else _swap(item, *wrong)
             found = block.find(decontaminate.normal_words(pa.array(["w1 w2", text])))
             right = n <= size // 5 and not {0, size - 1} & {*wrong}
             assert plain.contaminated(text, [item]) == right
-            assert found == ([(1, 7, size, size - n)] if right else []), wrong
+            assert found == ([(1, 1, 7, size, size - n)] if right else []), wrong
 
 
 def test_short_items_in_the_report(spark):
@@ -253,3 +254,32 @@ def test_marked_words_strip_signs():
     words = toxicity.marked_words(pa.array(["«Hey», you! -- it's", None, ""]))
     assert [words.vocabulary[c].as_py() for c in words.codes] == ["hey", "you", "it's"]
     assert words.starts.tolist() == [0, 3, 3, 3]
+
+
+def test_items_without_an_id_are_items(spark):
+    docs = [(1, f"before it {ITEM} after"), (2, "clean words"), (3, _swap(ITEM, 3).replace("w", "v"))]
+    other = ITEM.replace("w", "v")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, ITEM), (None, other), (None, ITEM), (9, other)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(df, benchmark).collect()}
+    assert {k: (r.contaminated, r.n_items, r.item_id, r.overlap_words) for k, r in got.items()} == {1: (True, 1, None, 20), 2: (False, 0, None, 0), 3: (True, 2, 9, 20)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, benchmark).collect()} == {2}
+
+
+def test_text_that_repeats_itself():
+    """One word thousands of times against an item of the same: linear in both; the report is that of all shifts."""
+    block = decontaminate.Block([(1, 7), (2, 8)], ["x " * 800, "a b " * 40], decontaminate.Rules())
+    began = time.perf_counter()
+    assert block.find(decontaminate.normal_words(pa.array(["x " * 20_000, "y " * 20_000]))) == [(0, 1, 7, 800, 800)]
+    assert time.perf_counter() - began < 2.0
+    assert block.find(decontaminate.normal_words(pa.array(["b a " * 3000, "x " * 13 + "q " + "x " * 3]))) == [(0, 2, 8, 80, 80), (1, 1, 7, 17, 16)]
+
+
+def test_random_repetitive_texts_against_all_shifts():
+    draw = np.random.default_rng(12)
+    for _ in range(60):
+        items = [" ".join(draw.choice(["a", "b", "c"], draw.integers(5, 30), p=[0.8, 0.15, 0.05])) for _ in range(3)]
+        texts = [" ".join(draw.choice(["a", "b", "c", "d"], draw.integers(0, 40), p=[0.7, 0.15, 0.1, 0.05])) for _ in range(6)]
+        block = decontaminate.Block([(k, k) for k in range(3)], items, decontaminate.Rules())
+        found = {(text, item) for text, item, *_ in block.find(decontaminate.normal_words(pa.array(texts)))}
+        assert found == {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if plain.contaminated(t, [item])}
