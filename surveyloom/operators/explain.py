@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.hashing import uniform
 from surveyloom.operators.classifiers.base import PipelineClassifier
 from surveyloom.operators.encoding import column_moments
-from surveyloom.operators.profile import grouped_quantiles
+from surveyloom.operators.selection import grouped_quantiles
 from surveyloom.session import fresh_path
 
 # ---------------------------------------------------------------- trees

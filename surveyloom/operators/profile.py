@@ -6,7 +6,6 @@ expressions. NaN counts as missing, like null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.scalars import percent
-from surveyloom.operators.rank import prefix_sums, value_ranks
+from surveyloom.operators.rank import value_ranks
+from surveyloom.operators.selection import grouped_quantiles
 from surveyloom.schema import numeric_names
 from surveyloom.session import materialize
 
@@ -71,127 +71,6 @@ def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type:
     return typed.unpivot(list(keep), list(cols), "feature", "value")
 
 
-# Highest accuracy asked of an approximate quantile, and the rows that a bracket should hold at most.
-SHARPEST = 10_000_000
-BRACKET_ROWS = 100_000
-
-
-def _per_group(group: str, values: dict) -> Column:
-    """The constant that belongs to the row's group."""
-    first, *rest = values.items()
-    out = F.when(F.col(group) == F.lit(first[0]), F.lit(first[1]))
-    for g, v in rest:
-        out = out.when(F.col(group) == F.lit(g), F.lit(v))
-    return out
-
-
-def grouped_quantiles(
-    long: DataFrame,
-    probs: Sequence[float],
-    group: str = "feature",
-    value: str = "value",
-    limit: int = BRACKET_ROWS,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group: (group, prob, quantile).
-
-    Approximate quantiles bracket each wanted position; one pass counts the rows below and inside every
-    bracket, and a bracket with more than ``limit`` rows is narrowed again, as far as a sketch can. Only the rows inside
-    the brackets are then counted per value and ordered, over all tasks; the table itself is never shuffled or sorted.
-    Each round brings back a few numbers per group and quantile.
-    """
-    rows = long.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-    gap = 2.0 / accuracy
-    around = [q for p in probs for q in (max(0.0, p - gap), min(1.0, p + gap))]
-    found = (
-        rows.groupBy("_g")
-        .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.percentile_approx("_v", around, accuracy).alias("e"))
-        .collect()
-    )
-    if not found:
-        return long.sparkSession.createDataFrame([], f"{group} string, prob double, quantile double")
-    # Per wanted quantile: each group's position, bracket, and rows below the bracket.
-    at = [{r["_g"]: (r["n"] - 1) * p for r in found} for p in probs]
-    whole = {r["_g"]: (r["lo"], r["hi"]) for r in found}
-    bracket = [{r["_g"]: (r["e"][2 * j], r["e"][2 * j + 1]) for r in found} for j in range(len(probs))]
-    below = [dict.fromkeys(whole, 0) for _ in probs]
-
-    def ends(j: int) -> tuple[Column, Column]:
-        return (
-            _per_group("_g", {g: x[0] for g, x in bracket[j].items()}),
-            _per_group("_g", {g: x[1] for g, x in bracket[j].items()}),
-        )
-
-    # The last bracket known to hold its position, as (ends, rows below, rows inside), and the accuracy to
-    # narrow it with. Every round shrinks a bracket or raises its accuracy, so the rounds end.
-    good = [{r["_g"]: (whole[r["_g"]], 0, r["n"]) for r in found} for _ in probs]
-    sharp = [dict.fromkeys(whole, accuracy) for _ in probs]
-    while True:
-        counts = []
-        for j in range(len(probs)):
-            low, high = ends(j)
-            counts += [F.count_if(F.col("_v") < low).alias(f"b{j}"), F.count_if(F.col("_v").between(low, high)).alias(f"i{j}")]
-        wide = []
-        for r in rows.groupBy("_g").agg(*counts).collect():
-            g = r["_g"]
-            for j in range(len(probs)):
-                under, inside = r[f"b{j}"], r[f"i{j}"]
-                if under <= math.floor(at[j][g]) and under + inside > math.ceil(at[j][g]):
-                    good[j][g] = (bracket[j][g], under, inside)
-                else:
-                    sharp[j][g] *= 10
-                bracket[j][g], below[j][g], inside = good[j][g]
-                low, high = bracket[j][g]
-                if inside > limit and low < high and sharp[j][g] <= SHARPEST:
-                    wide.append((j, g, (at[j][g] - below[j][g]) / (inside - 1)))
-        if not wide:
-            break
-        finer = []
-        for i, (j, g, p) in enumerate(wide):
-            low, high = bracket[j][g]
-            gap = 2.0 / sharp[j][g]
-            v = F.when((F.col("_g") == F.lit(g)) & F.col("_v").between(low, high), F.col("_v"))
-            finer.append(F.percentile_approx(v, [max(0.0, p - gap), min(1.0, p + gap)], sharp[j][g]).alias(f"n{i}"))
-        found_ends = rows.agg(*finer).first()
-        for i, (j, g, _) in enumerate(wide):
-            if tuple(found_ends[f"n{i}"]) == bracket[j][g]:
-                sharp[j][g] *= 10
-            else:
-                bracket[j][g] = tuple(found_ends[f"n{i}"])
-    places, near_any = [], F.lit(False)
-    for j, p in enumerate(probs):
-        low, high = ends(j)
-        near_any = near_any | F.col("_v").between(low, high)
-        places.append(
-            F.when(
-                F.col("_v").between(low, high),
-                F.struct(F.lit(float(p)).alias("prob"), _per_group("_g", at[j]).alias("at"), _per_group("_g", below[j]).alias("below")),
-            )
-        )
-    counted = (
-        rows.where(near_any)
-        .select("_g", "_v", F.explode(F.array(*places)).alias("w"))
-        .where(F.col("w").isNotNull())
-        .groupBy("_g", "w.prob", "w.at", "w.below", "_v")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_place", F.struct("_g", "prob"))
-    )
-    counted = (
-        prefix_sums(counted, "_v", ["_n"], "_place")
-        .withColumn("_f", F.col("below") + F.col("_n_before"))
-        .withColumn("_l", F.col("_f") + F.col("_n") - 1)
-    )
-
-    def at_position(where: Column) -> Column:
-        return F.max(F.when((F.col("_f") <= where) & (F.col("_l") >= where), F.col("_v")))
-
-    picked = counted.groupBy(F.col("_g").alias(group), "prob", "at").agg(
-        at_position(F.floor("at")).alias("lo"), at_position(F.ceil("at")).alias("hi")
-    )
-    between = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
-    return picked.select(group, "prob", between.alias("quantile"))
-
-
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles and max, one row per numeric column.
 
