@@ -44,7 +44,7 @@ def fold_rows(df: DataFrame, features: Sequence[str], label: str) -> tuple[DataF
     Survey answers repeat, so equal rows become one weighted row and every later pass of an iterative fit reads
     the short table. This is for fits whose loss is a weighted sum over rows, which folding leaves as it is.
     """
-    slim = df.select(*features, label)
+    slim = df.select(*[whole(F.col(c).cast("double"), features).alias(c) for c in features], binary_label(label).cast("double").alias(label))
     return slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias(WEIGHT)), slim.count()
 
 

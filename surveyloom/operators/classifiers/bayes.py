@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.operators.classifiers.base import ExpressionModel, binary_label
+from surveyloom.operators.classifiers.base import ExpressionModel, binary_label, whole
 
 
 def fit_bayes(df: DataFrame, features: Sequence[str], label: str, *, var_smoothing: float = 1e-9) -> ExpressionModel:
@@ -17,7 +17,8 @@ def fit_bayes(df: DataFrame, features: Sequence[str], label: str, *, var_smoothi
     The model is the difference of the two class log likelihoods as a column expression.
     """
     features = list(features)
-    wanted = [F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"f{i}") for i, c in enumerate(features)]
+    sound = [whole(F.col(c).cast("double"), features) for c in features]
+    wanted = [F.struct(F.avg(x).alias("m"), F.var_pop(x).alias("v")).alias(f"f{i}") for i, x in enumerate(sound)]
     # The extra grouping set gives the variances over all rows without a second scan.
     rows = (
         df.withColumn("_k", binary_label(label))

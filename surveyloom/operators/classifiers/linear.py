@@ -1,4 +1,4 @@
-"""Linear margins: logistic regression, support vector machines, discriminant analysis; and a small neural network."""
+"""Linear margins: logistic regression, support vector machines, discriminant analysis."""
 
 from __future__ import annotations
 
@@ -7,23 +7,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.operators.classifiers import newton
 from surveyloom.operators.classifiers.base import (
     VECTOR,
     WEIGHT,
     ExpressionModel,
-    PipelineClassifier,
     Scaler,
     binary_label,
     fit_pipeline,
     fold_rows,
     scaled,
+    whole,
 )
+from surveyloom.session import discard
 
 
 def fit_logistic(
@@ -36,48 +37,67 @@ def fit_logistic(
     l1_ratio: float = 0.5,
     fit_intercept: bool = True,
     max_iter: int = 100,
-) -> PipelineClassifier:
-    """Logistic regression; the inverse strength ``C`` becomes a per-row penalty 1 / (C n)."""
-    mixes = {"l1": 1.0, "l2": 0.0, "elasticnet": float(l1_ratio), None: 0.0}
-    if penalty not in mixes:
-        raise ValueError(f"unknown penalty {penalty}")
-    train, n = fold_rows(df, features, label)
-    strength = 0.0 if penalty is None else 1.0 / (float(C) * max(1, n))
-    est = LogisticRegression(
-        featuresCol=VECTOR,
-        labelCol=label,
-        regParam=strength,
-        elasticNetParam=mixes[penalty],
-        fitIntercept=bool(fit_intercept),
-        standardization=False,
-        maxIter=max_iter,
-        weightCol=WEIGHT,
-    )
-    return fit_pipeline(train, features, est)
+) -> ExpressionModel:
+    """Logistic regression: the sum of the log losses plus the penalty of strength 1 / ``C``, by Newton steps."""
+    one = newton.problem(C, penalty, l1_ratio, fit_intercept)
+    features = list(features)
+    counted = newton.counted_rows(df, features, label)
+    weights = newton.solve(counted, len(features), [one], max_iter)[0]
+    discard(counted)
+    margin = F.lit(float(weights[-1]))
+    for c, w in zip(features, weights):
+        margin = margin + F.col(c).cast("double") * F.lit(float(w))
+    return ExpressionModel(features, margin, detail={"coef": weights[:-1], "intercept": float(weights[-1])})
+
+
+def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(squares, 0.0))
+
+
+def cubic(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    return (gamma * x @ y.T) ** 3
+
+
+KERNELS = {"rbf": rbf, "poly": cubic}
+
 
+class KernelModel:
+    """Linear margin on the Nystroem features of the scaled inputs: inner products of these approach the kernel.
 
-class FourierModel:
-    """Linear margin on random cosine features of the scaled inputs."""
+    ``detail`` states how well: the largest and the root mean square difference to the kernel, over pairs of training rows that are no landmarks.
+    """
+
+    def __init__(self, features, scaler: Scaler, kernel: str, gamma: float, landmarks: np.ndarray):
+        self.features, self.scaler, self.kernel, self.gamma, self.landmarks = list(features), scaler, kernel, gamma, landmarks
+        values, vectors = np.linalg.eigh(KERNELS[kernel](landmarks, landmarks, gamma))
+        kept = values > 1e-10 * values.max()
+        self.root = vectors[:, kept] / np.sqrt(values[kept])
+        self.svm, self.detail = None, {}
 
-    def __init__(self, features, scaler: Scaler, weights: np.ndarray, shift: np.ndarray, svm=None):
-        self.features, self.scaler, self.weights, self.shift, self.svm = list(features), scaler, weights, shift, svm
+    def map(self, x: np.ndarray) -> np.ndarray:
+        return KERNELS[self.kernel](x, self.landmarks, self.gamma) @ self.root
+
+    def measure(self, rows: np.ndarray) -> None:
+        half = len(rows) // 2
+        if half:
+            off = self.map(rows[:half]) @ self.map(rows[half : 2 * half]).T - KERNELS[self.kernel](rows[:half], rows[half : 2 * half], self.gamma)
+            self.detail = {"pairs": off.size, "largest_error": float(np.abs(off).max()), "rms_error": float(np.sqrt((off**2).mean()))}
 
     def project(self, df: DataFrame) -> DataFrame:
-        weights, shift = self.weights, self.shift
+        sent = df.sparkSession.sparkContext.broadcast((self.kernel, self.gamma, self.landmarks, self.root))  # landmarks squared
 
         @F.pandas_udf("array<double>")
-        def cosines(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            scale = math.sqrt(2.0 / len(shift))
+        def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            kernel, gamma, landmarks, root = sent.value
             for cols in batches:
                 x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-                yield pd.Series(list(scale * np.cos(x @ weights + shift)))
+                yield pd.Series(list(KERNELS[kernel](x, landmarks, gamma) @ root))
 
-        inputs = [F.col(scaled(c)) for c in self.features]
-        return self.scaler.apply(df).withColumn(VECTOR, array_to_vector(cosines(*inputs)))
+        inputs = [whole(F.col(scaled(c)), self.features) for c in self.features]
+        return self.scaler.apply(df).withColumn(VECTOR, array_to_vector(features(*inputs)))
 
     def predict(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
         out = self.svm.transform(self.project(df))
         margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
         return out.withColumn("probability", 1 / (1 + F.exp(-margin))).select(*df.columns, "prediction", "probability")
@@ -91,14 +111,15 @@ def fit_svm(
     C: float = 1.0,
     kernel: str = "linear",
     gamma: float | str = "scale",
-    n_components: int = 64,
+    landmarks: int = 256,
+    checked: int = 200,
     max_iter: int = 50,
     seed: int = 1,
 ):
     """Support vector machine on scaled features.
 
-    'linear' is direct, 'poly' (degree 3) goes through the expanded features, and 'rbf' through
-    random Fourier features (Rahimi and Recht 2007), whose inner products approach the kernel.
+    'linear' is direct; 'rbf' and 'poly' (degree 3) go through Nystroem features of ``landmarks`` rows, those of the smallest hash among the distinct
+    rows. ``checked`` further rows measure how well these stand for the kernel.
     """
     train, n = fold_rows(df, features, label)
     svm = LinearSVC(
@@ -112,17 +133,17 @@ def fit_svm(
     scaler = Scaler.fit(df, features)
     if kernel == "linear":
         return fit_pipeline(train, features, svm, scaler=scaler)
-    d = len(features)
-    width = 1.0 / d if gamma in ("scale", "auto") else float(gamma)
-    if kernel == "poly":  # gamma multiplies inner products, so its root multiplies the inputs
-        scaler = Scaler({c: (mean, (std or 0.0) / math.sqrt(width)) for c, (mean, std) in scaler.moments.items()})
-        expand = PolynomialExpansion(degree=3, inputCol=VECTOR, outputCol="_poly")
-        return fit_pipeline(train, features, svm.setFeaturesCol("_poly"), before=[expand], scaler=scaler)
-    if kernel != "rbf":
+    if kernel not in KERNELS:
         raise ValueError(f"kernel {kernel} is not available")
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, math.sqrt(2 * width), (d, n_components))
-    model = FourierModel(features, scaler, weights, rng.uniform(0, 2 * math.pi, n_components))
+    width = 1.0 / len(features) if gamma in ("scale", "auto") else float(gamma)
+    draw = F.xxhash64(F.lit(seed), *[F.col(c).cast("double") for c in features])
+    distinct = scaler.apply(train.select(*features).distinct()).select(draw.alias("_draw"), *[scaled(c) for c in features])
+    drawn = distinct.orderBy("_draw").limit(landmarks + checked).collect()
+    points = np.array([r[1:] for r in drawn], float).reshape(-1, len(features))
+    if not len(points):
+        raise ValueError("no training rows")
+    model = KernelModel(features, scaler, kernel, width, points[:landmarks])
+    model.measure(points[landmarks:])
     model.svm = svm.fit(model.project(train))
     return model
 
@@ -140,7 +161,7 @@ def fit_discriminant(
     features = list(features)
     scaler = Scaler.fit(df, features)
     names = [scaled(c) for c in features]
-    x = scaler.apply(df).withColumn(label, binary_label(label))
+    x = scaler.apply(df).withColumn(label, binary_label(label)).withColumns({c: whole(F.col(c), features) for c in names})
     rows = x.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).collect()
     stats = {int(r[label]): (r["n"], np.array([r[c] for c in names], dtype=float)) for r in rows}
     if set(stats) != {0, 1}:
@@ -164,25 +185,3 @@ def fit_discriminant(
     for c, coef in zip(names, w):
         margin = margin + F.col(c) * F.lit(float(coef))
     return ExpressionModel(features, margin, scaler=scaler, detail={"coef": w, "intercept": b})
-
-
-def fit_perceptron(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    *,
-    hidden: Sequence[int] = (8,),
-    learning_rate: float = 0.03,
-    max_iter: int = 100,
-    seed: int = 1,
-) -> PipelineClassifier:
-    """Multi-layer perceptron (sigmoid units) on scaled features."""
-    est = MultilayerPerceptronClassifier(
-        featuresCol=VECTOR,
-        labelCol=label,
-        layers=[len(features), *[int(h) for h in hidden], 2],
-        stepSize=float(learning_rate),
-        maxIter=max_iter,
-        seed=seed,
-    )
-    return fit_pipeline(df, features, est, scale=True)

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame
 
-from surveyloom.operators.classifiers.base import VECTOR, PipelineClassifier, fit_pipeline
+from surveyloom.operators.classifiers.base import VECTOR, PipelineClassifier, binary_label, fit_pipeline
+from surveyloom.session import keep_checkpoints
 
 # Spark's own limit on tree depth; stands for "no limit".
 DEEPEST = 30
@@ -22,6 +23,11 @@ def _impurity(criterion: str) -> str:
     return "gini" if criterion == "gini" else "entropy"
 
 
+def _fit(df: DataFrame, features: Sequence[str], label: str, estimator) -> PipelineClassifier:
+    """Labels other than 0 and 1 make the fit fail, as missing features do in the assembler."""
+    return fit_pipeline(df.withColumn(label, binary_label(label).cast("double")), features, estimator)
+
+
 def _common(label: str) -> dict:
     return {"featuresCol": VECTOR, "labelCol": label}
 
@@ -31,7 +37,7 @@ def fit_boosting(
     features: Sequence[str],
     label: str,
     *,
-    n_estimators: int = 20,
+    n_estimators: int = 500,
     max_depth: int | None = 3,
     learning_rate: float = 0.1,
     subsample: float = 0.8,
@@ -46,8 +52,9 @@ def fit_boosting(
 
     ``colsample`` is applied per node, ``gamma`` is the least gain of a split, and ``num_leaves`` (when
     given) sets the depth that holds so many leaves. ``validation`` names a boolean column; training
-    stops when the loss on its rows no longer falls by ``tolerance``.
+    stops when the loss on its rows no longer falls by ``tolerance``; ``staged`` stops on the AUC.
     """
+    keep_checkpoints(df.sparkSession)
     depth = _depth(max_depth)
     if num_leaves:
         depth = min(depth, max(1, math.ceil(math.log2(num_leaves))))
@@ -65,7 +72,7 @@ def fit_boosting(
     if validation:
         est = est.setValidationIndicatorCol(validation)
         est.set(est.validationTol, float(tolerance))
-    return fit_pipeline(df, features, est)
+    return _fit(df, features, label, est)
 
 
 def fit_forest(
@@ -73,7 +80,7 @@ def fit_forest(
     features: Sequence[str],
     label: str,
     *,
-    n_estimators: int = 20,
+    n_estimators: int = 100,
     max_depth: int | None = 5,
     min_samples_leaf: int = 1,
     max_features: str | None = "sqrt",
@@ -98,31 +105,7 @@ def fit_forest(
         maxBins=max_bins,
         seed=seed,
     )
-    return fit_pipeline(df, features, est)
-
-
-def fit_extra_trees(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    *,
-    n_estimators: int = 20,
-    max_depth: int | None = 5,
-    min_samples_leaf: int = 1,
-    seed: int = 1,
-) -> PipelineClassifier:
-    """Forest on all rows with coarse thresholds: the nearest to extremely randomised trees on Spark's trainer."""
-    return fit_forest(
-        df,
-        features,
-        label,
-        n_estimators=n_estimators,
-        max_depth=max_depth,
-        min_samples_leaf=min_samples_leaf,
-        bootstrap=False,
-        max_bins=32,
-        seed=seed,
-    )
+    return _fit(df, features, label, est)
 
 
 def fit_tree(
@@ -144,4 +127,4 @@ def fit_tree(
         maxBins=64,
         seed=seed,
     )
-    return fit_pipeline(df, features, est)
+    return _fit(df, features, label, est)

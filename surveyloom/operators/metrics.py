@@ -66,8 +66,15 @@ def metric_columns() -> list[Column]:
 
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
-    hit = (F.col(label) == F.col(pred)).cast("double")
-    return df.agg(F.avg(hit).alias("accuracy"))
+    return confusion_counts(df, label, pred).select(accuracy_of().alias("accuracy"))
+
+
+def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(y, s): other labels than 0 and 1, and missing scores, make the query fail."""
+    y, s = F.col(label).cast("double"), F.col(score).cast("double")
+    sound = y.isin(0.0, 1.0) & s.isNotNull() & ~F.isnan(s)
+    problem = F.raise_error(F.lit(f"{label} must be 0 or 1 and {score} a number in every row")).cast("double")
+    return df.select(F.when(F.coalesce(sound, F.lit(False)), y).otherwise(problem).alias("_y"), s.alias("_s"))
 
 
 def binary_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -109,10 +116,8 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
     Counted per distinct score with running sums, so no pair is formed. Null when a class is absent.
     """
-    counted = df.where(F.col(score).isNotNull()).groupBy(score).agg(
-        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q")
-    )
-    summed = prefix_sums(counted, score, ["_q"])
+    counted = _scored(df, label, score).groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_q"))
+    summed = prefix_sums(counted, "_s", ["_q"])
     p, q = F.col("_p").cast("double"), F.col("_q").cast("double")
     won = F.sum(p * (F.col("_q_before") + q / 2))
     return summed.agg(F.try_divide(won, F.sum(p) * F.sum(q)).alias("auc"))
@@ -120,9 +125,9 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def log_loss(df: DataFrame, label: str, prob: str, eps: float = 1e-15) -> DataFrame:
     """Mean negative log likelihood of the label, probabilities clipped to [eps, 1 - eps]."""
-    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(eps)), F.lit(1 - eps))
-    y = F.col(label).cast("double")
-    return df.agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"))
+    p = F.least(F.greatest(F.col("_s"), F.lit(eps)), F.lit(1 - eps))
+    y = F.col("_y")
+    return _scored(df, label, prob).agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"))
 
 
 def cv_summary(trials: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:

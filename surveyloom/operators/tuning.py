@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.operators.explain import lime_explain
-from surveyloom.operators.metrics import binary_metrics, roc_auc
-from surveyloom.operators.spaces import Family, draw_params, narrow
+from surveyloom.operators.metrics import binary_metrics, class_report, confusion_matrix, metric_columns, roc_auc
+from surveyloom.operators.spaces import Family, density_draws, draw_params
 from surveyloom.operators.splits import stratified_kfold
 
 SCORES = ("accuracy", "precision", "recall", "f1", "f1_weighted", "roc_auc")
@@ -71,6 +71,7 @@ class Search:
     best: dict | None
     score: float | None
     fold_scores: list[float] = field(default_factory=list)
+    means: dict[int, float] = field(default_factory=dict)  # mean score of each trial without a failed fold
 
 
 def text_map(params: Mapping[str, Any]) -> dict[str, str]:
@@ -90,8 +91,13 @@ def with_folds(df: DataFrame, task: Task) -> DataFrame:
 
 
 def cross_validate(folded: DataFrame, family: Family, candidates: Sequence[Mapping], task: Task, start: int = 0) -> Search:
-    """Score every candidate on every fold; a failing fit leaves a null score and its message."""
+    """Score every candidate on every fold; a failing fit leaves a null score and its message.
+
+    Families that can, fit and score all candidates on all folds together; others take a fit per candidate and fold.
+    """
     spark = folded.sparkSession
+    if family.many is not None and task.scoring != "roc_auc":
+        return _together(folded, family, candidates, task, start)
 
     def one(job: tuple[int, Mapping, int]) -> tuple:
         trial, params, fold = job
@@ -108,6 +114,17 @@ def cross_validate(folded: DataFrame, family: Family, candidates: Sequence[Mappi
     return _summed(spark, rows, {start + i: dict(p) for i, p in enumerate(candidates)})
 
 
+def _together(folded: DataFrame, family: Family, candidates: Sequence[Mapping], task: Task, start: int) -> Search:
+    cells, failed = family.many(folded, task.features, task.label, candidates, task.folds)
+    scores = {(r["trial"], r["fold"]): r["score"] for r in cells.select("fold", "trial", *metric_columns()).withColumn("score", F.col(task.scoring)).collect()}
+    rows = [
+        (family.name, start + t, f, scores.get((t, f)), text_map(candidates[t]), failed.get((t, f)))
+        for t in range(len(candidates))
+        for f in range(task.folds)
+    ]
+    return _summed(folded.sparkSession, rows, {start + t: dict(p) for t, p in enumerate(candidates)})
+
+
 def _summed(spark: SparkSession, rows: list[tuple], params: dict[int, dict]) -> Search:
     scores: dict[int, list[float]] = {}
     for _, trial, _, score, _, error in rows:
@@ -118,17 +135,17 @@ def _summed(spark: SparkSession, rows: list[tuple], params: dict[int, dict]) ->
     trials = spark.createDataFrame(rows, TRIALS)
     if best is None:
         return Search(trials, rows, None, None)
-    return Search(trials, rows, params[best], means[best], scores[best])
+    return Search(trials, rows, params[best], means[best], scores[best], {t: means[t] for t in valid})
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """(model, trial, score, params) of the trial with the highest mean score over its folds, the first one on ties.
+    """(model, trial, score, params) of the trial with the highest mean score (to 12 digits) over its folds, the first one on ties.
 
     Trials of which a fold failed are left out.
     """
     failed = F.col("error").isNotNull() | F.col("score").isNull() | F.isnan("score")
     means = trials.groupBy("model", "trial").agg(
-        F.avg("score").alias("score"), F.any_value("params").alias("params"), F.count_if(failed).alias("failed")
+        F.round(F.avg("score"), 12).alias("score"), F.any_value("params").alias("params"), F.count_if(failed).alias("failed")
     )
     return means.where("failed = 0").orderBy(F.desc("score"), "trial").limit(1).drop("failed").select("model", "trial", "score", "params")
 
@@ -138,24 +155,38 @@ def random_search(folded: DataFrame, family: Family, task: Task, n_iter: int) ->
     return cross_validate(folded, family, draw_params(family.space, n_iter, task.seed), task)
 
 
-def space_search(folded: DataFrame, family: Family, task: Task, n_trials: int, rounds: int = 2) -> Search:
-    """Search a declared space in rounds; each later round draws from the part around the best so far."""
+def space_search(folded: DataFrame, family: Family, task: Task, n_trials: int, rounds: int = 8) -> Search:
+    """Search a declared space in rounds: the first draws evenly, each later one where good trials are denser than the others."""
     spark = folded.sparkSession
-    space, rows, params = family.space, [], {}
+    rows, params = [], {}
     search = Search(spark.createDataFrame([], TRIALS), [], None, None)
+    rounds = max(1, min(rounds, n_trials))
     for r in range(rounds):
         n = n_trials // rounds + (1 if r < n_trials % rounds else 0)
-        candidates = draw_params(space, n, task.seed + r)
+        candidates = density_draws(family.space, [(params[t], m) for t, m in search.means.items()], n, task.seed + r)
+        if not candidates:
+            break
         part = cross_validate(folded, family, candidates, task, start=len(params))
         params.update({len(params) + i: p for i, p in enumerate(candidates)})
         rows = rows + part.rows
         search = _summed(spark, rows, params)
-        if search.best is None:
-            continue
-        space = narrow(family.space, search.best)
     return search
 
 
+def report_best(train: DataFrame, test: DataFrame, family: Family, params: Mapping[str, Any], task: Task) -> dict[str, DataFrame]:
+    """The best parameters fitted to all training rows and judged on the test rows: ``params``, ``report`` and ``confusion``, and the ``model``."""
+    spark = train.sparkSession
+    model = family.train(train, task.features, task.label, task.key, params)
+    judged = model.predict(test)
+    table = [(family.name, k, v) for k, v in text_map(params).items()]
+    return {
+        "model": model,
+        "params": spark.createDataFrame(table, "model string, name string, value string"),
+        "report": class_report(judged, task.label, "prediction", totals=True),
+        "confusion": confusion_matrix(judged, task.label, "prediction"),
+    }
+
+
 def compare_models(
     train: DataFrame,
     test: DataFrame,

@@ -30,6 +30,12 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/surveyloom-{spark.sparkContext.applicationId}"
 
 
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Give trainers that checkpoint their own tables a folder, so that long fits keep no long lineage."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{own_dir(spark)}/checkpoints")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the application's folder that nothing has used before."""
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.operators import explain, metrics, sampling, splits, tuning
 from surveyloom.operators.classifiers import bayes, boosted_stumps, linear, neighbours, trees
-from surveyloom.operators.spaces import FAMILIES, Choice, Family, Real, Whole, draw_params, narrow
+from surveyloom.operators.spaces import FAMILIES, Choice, Family, Real, Whole, draw_params
 from surveyloom.plans.cases import cases
 from surveyloom.schema import FEATURES, KEY, LABEL
 
@@ -42,17 +42,16 @@ def test_boosted_stumps_and_bayes(parts):
         bayes.fit_bayes(parts[0].where("label = 1"), FEATURES, LABEL)
 
 
-def test_folded_rows_fit_the_same_line(parts):
+def test_newton_steps_fit_the_same_line(parts):
     few = ["severity", "hard_access"]
     whole = parts[0].select(*few, LABEL)
-    folded = linear.fit_logistic(whole, few, LABEL).stage.coefficients
-    wide = whole.withColumn("noise", F.rand(1) * 0).drop("noise")
+    fitted = linear.fit_logistic(whole, few, LABEL).detail
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=few, outputCol="x").transform(wide)
-    plain = LogisticRegression(featuresCol="x", labelCol=LABEL, regParam=1 / 1200, standardization=False).fit(rows)
-    assert np.allclose(folded, plain.coefficients, rtol=1e-3)
+    rows = VectorAssembler(inputCols=few, outputCol="x").transform(whole)
+    plain = LogisticRegression(featuresCol="x", labelCol=LABEL, regParam=1 / 1200, standardization=False, tol=1e-10, maxIter=300).fit(rows)
+    assert np.allclose(fitted["coef"], plain.coefficients, rtol=1e-5) and fitted["intercept"] == pytest.approx(plain.intercept, rel=1e-5)
 
 
 def brute(train, test, k, p, weights):
@@ -149,8 +148,6 @@ def test_draws(parts):
     assert draw_params(space, 4, 1) == draw_params(space, 4, 1)
     log = Real(1e-3, 1e2, log=True)
     assert all(1e-3 <= p["c"] <= 1e2 for p in draw_params({"c": log}, 50))
-    near = narrow({"c": log, "b": Whole(1, 100)}, {"c": 1.0, "b": 100})
-    assert near["c"].low < 1.0 < near["c"].high and near["b"] == Whole(76, 100)
 
 
 def test_search_and_comparison_record_failures(parts):
