@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from surveyloom.operators.spaces import draw_params
 from surveyloom.plans.cases import CASES_SQL, GAPPED_SQL, _digits_sql
-from surveyloom.plans.registry import GIVEN, LINEAR_SCORE, RULES, SCALED, SMOOTHING
+from surveyloom.plans.registry import DRAWS, GIVEN, LINEAR_SCORE, RULES, SCALED, SHRINKING, SMOOTHING
 from surveyloom.schema import CATEGORIES, FEATURES
 
 COLUMNS = "case_id, district_name, district_code, gender, severity, diet, smoke, water, toilet, hard_access, label"
 NUMERIC = [*FEATURES, "label"]
-# The drawn candidates of ``best_trial``, as plain numbers.
-SMOOTHINGS = [p["var_smoothing"] for p in draw_params(SMOOTHING, 6, 42)]
+# The drawn candidates of the searches, as plain numbers.
+SMOOTHINGS = [p["var_smoothing"] for p in draw_params(SMOOTHING, DRAWS, 42)]
+SHRINKAGES = [p["shrinkage"] for p in draw_params(SHRINKING, DRAWS, 42)]
 
 
 def _hash(key: str, seed: int) -> str:
@@ -146,19 +147,170 @@ margins as (select case_id, label, trial, h, sum(case when k = 1 then ll else -l
 c as (select trial, h, count(*)::double as n, sum((label = 1 and margin > 0)::int)::double as tp, sum((label = 0 and margin > 0)::int)::double as fp,
              sum((label = 1 and margin <= 0)::int)::double as fn, sum((label = 0 and margin <= 0)::int)::double as tn from margins group by trial, h),
 f as (select trial, h, (2 * tp / (2 * tp + fp + fn) * (tp + fn) + 2 * tn / (2 * tn + fp + fn) * (tn + fp)) / n as f1w from c),
-means as (select trial, avg(f1w) as score, stddev_pop(f1w) as spread from f group by trial)"""
+means as (select trial, round(avg(f1w), 12) as score, stddev_pop(f1w) as spread from f group by trial)"""
+
+
+def _eliminate(size: int, keys: tuple[str, ...] = (), first: str = "e", done: int = 0) -> str:
+    """Tables ``e1`` ... that solve the systems of ``e0`` (keys, i, j, v; column ``size`` is the right side), a column at a time."""
+    cols = "".join(f"e.{k}, " for k in keys)
+    same = lambda t: "".join(f" and {t}.{k} = e.{k}" for k in keys)
+    return ",\n".join(
+        f"{first}{k + 1} as materialized (select {cols}e.i, e.j, case when e.i = {k} then e.v / p.v else e.v - l.v * r.v / p.v end as v from {first}{k} e "
+        f"join {first}{k} p on p.i = {k} and p.j = {k}{same('p')} join {first}{k} l on l.i = e.i and l.j = {k}{same('l')} "
+        f"join {first}{k} r on r.i = {k} and r.j = e.j{same('r')})"
+        for k in range(size)
+    )
 
 
-def _discriminant(shrinkage: float) -> str:
+def _cv_discriminant(shrinkages: list[float], folds: int = 5) -> str:
+    """c(trial, h, tp, fp, fn, tn): linear discriminant analysis on the folds of the training rows, per shrinkage."""
+    d = len(FEATURES)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    name = lambda i, j: f"c_{min(i, j)}_{max(i, j)}"
+    covs = ", ".join(f"covar_pop({FEATURES[i]}, {FEATURES[j]}) as {name(i, j)}" for i, j in pairs)
+    pooled = ", ".join(f"sum(n * {name(i, j)}) / sum(n) as {name(i, j)}" for i, j in pairs)
+    spread = ", ".join(f"stddev_pop({c}) as s_{i}, avg({c}) as a_{i}" for i, c in enumerate(FEATURES))
+    cells = " union all ".join(f"select h, {i} as i, {j} as j, {name(i, j)} / (s_{i} * s_{j}) as v from pooled join spread using (h)" for i in range(d) for j in range(d))
+    class_means = ", ".join(f"avg({c}) as m_{i}" for i, c in enumerate(FEATURES))
+    gaps = " union all ".join(
+        f"select a.h, {i} as f, (b.m_{i} - a.m_{i}) / s_{i} as gap, (a.m_{i} + b.m_{i} - 2 * a_{i}) / s_{i} as both_m, ln(b.n / a.n) as odds "
+        f"from class_means a join class_means b on a.h = b.h and a.label = 0 and b.label = 1 join spread s on s.h = a.h"
+        for i in range(d)
+    )
+    trials = ", ".join(f"({t}, {s!r}::double)" for t, s in enumerate(shrinkages))
+    wide = ", ".join(f"max(w) filter (where f = {i}) as w_{i}" for i in range(d))
+    margin = " + ".join(f"w_{i} * ({c} - a_{i}) / s_{i}" for i, c in enumerate(FEATURES))
+    return f"""{SPLIT_SQL},
+t as (select *, ntile({folds}) over (partition by label order by {_hash("case_id", 42)}) - 1 as fold from marked where split = 'train'),
+held as (select unnest(range({folds})) as h),
+trials(trial, lam) as (values {trials}),
+spread as (select h, {spread} from t, held where fold != h group by h),
+class_means as (select h, label, count(*)::double as n, {class_means} from t, held where fold != h group by h, label),
+within as (select h, label, count(*)::double as n, {covs} from t, held where fold != h group by h, label),
+pooled as (select h, {pooled} from within group by h),
+cov as ({cells}),
+gap as ({gaps}),
+e0 as (select trial, h, i, j, (1 - lam) * v + case when i = j then lam / {d} * sum(case when i = j then v end) over (partition by trial, h) else 0 end as v
+       from cov, trials union all select trial, h, f, {d}, gap from gap, trials),
+{_eliminate(d, ("trial", "h"))},
+w as (select trial, h, i as f, v as w from e{d} where j = {d}),
+coefs as (select trial, h, {wide}, -0.5::double * sum(both_m * w) + max(odds) as b from w join gap using (h, f) group by trial, h),
+margins as (select case_id, label, trial, k.h, {margin} + b as margin from t join coefs k on t.fold = k.h join spread s on s.h = k.h),
+c as (select trial, h, count(*)::double as n, sum((label = 1 and margin > 0)::int)::double as tp, sum((label = 0 and margin > 0)::int)::double as fp,
+             sum((label = 1 and margin <= 0)::int)::double as fn, sum((label = 0 and margin <= 0)::int)::double as tn from margins group by trial, h)"""
+
+
+def _tuned() -> str:
+    f1 = _r("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)", "score")
+    parts = [("Naive Bayes", _cv_bayes(SMOOTHINGS)), ("LDA", _cv_discriminant(SHRINKAGES))]
+    return " union all ".join(f"select * from ({sql} select '{m}' as model, trial::int as trial, h::int as fold, {f1} from c)" for m, sql in parts)
+
+
+def _best_report() -> str:
+    """The shrinkage of the best mean weighted F1, and the report of its fit on all training rows."""
+    best = f"""({_cv_discriminant(SHRINKAGES)},
+f as (select trial, (2 * tp / (2 * tp + fp + fn) * (tp + fn) + 2 * tn / (2 * tn + fp + fn) * (tn + fp)) / n as f1w from c)
+select lam from (select trial, round(avg(f1w), 12) as score from f group by trial) join trials using (trial) order by score desc, trial limit 1)"""
+    judged = _discriminant(f"(select lam from {best})")
+    return f"""with judged as materialized ({judged}),
+c as (select {COUNTS} from judged),
+per as (select '1' as class_name, {PREC} as precision, {REC} as recall, {F_POS} as f1, tp + fn as support from c
+  union all select '0', coalesce(tn / nullif(tn + fn, 0), 0), coalesce(tn / nullif(tn + fp, 0), 0), {F_NEG}, tn + fp from c),
+every as (select * from per union all
+  select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from per union all
+  select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), sum(support) from per union all
+  select 'actual ' || label || ', predicted ' || prediction::int, null, null, null, count(*) from judged group by label, prediction)
+select class_name, {_r('precision', 'precision')}, {_r('recall', 'recall')}, {_r('f1', 'f1')}, support::bigint as support from every"""
+
+
+def _logistic(steps: int = 9) -> str:
+    """Newton steps on the sum of the log losses and half the squared weights; each system is solved by elimination."""
+    d = len(FEATURES)
+    x = [*FEATURES, "1.0::double"]
+    cells = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    parts = []
+    for k in range(steps):
+        margin = " + ".join(f"w_{i} * {c}" for i, c in enumerate(x))
+        sums = ", ".join([*(f"sum(p * (1 - p) * {x[i]} * {x[j]}) as h_{i}_{j}" for i, j in cells), *(f"sum((p - label) * {c}) as g_{i}" for i, c in enumerate(x))])
+        entries = [f"select {i} as i, {j} as j, h_{min(i, j)}_{max(i, j)}{' + 1' if i == j < d else ''} as v from s{k}" for i in range(d + 1) for j in range(d + 1)]
+        entries += [f"select {i}, {d + 1}, -(g_{i}{f' + w_{i}' if i < d else ''}) from s{k}, w{k}" for i in range(d + 1)]
+        moved = ", ".join(f"w_{i} + (select v from n{k}_{d + 1} where i = {i} and j = {d + 1}) as w_{i}" for i in range(d + 1))
+        parts += [
+            f"p{k} as materialized (select *, 1 / (1 + exp(-({margin}))) as p from marked, w{k} where split = 'train')",
+            f"s{k} as materialized (select {sums} from p{k})",
+            f"n{k}_0 as materialized ({' union all '.join(entries)})",
+            _eliminate(d + 1, first=f"n{k}_"),
+            f"w{k + 1} as materialized (select {moved} from w{k})",
+        ]
+    margin = " + ".join(f"w_{i} * {c}" for i, c in enumerate(x))
+    start = ", ".join(f"0.0::double as w_{i}" for i in range(d + 1))
+    return f"""{SPLIT_SQL},
+w0 as (select {start}),
+{", ".join(parts)},
+margins as (select case_id, label, {margin} as margin from marked, w{steps} where split = 'test')
+select case_id, label, case when margin > 0 then 1.0::double else 0.0::double end as prediction, {_r('1 / (1 + exp(-margin))', 'probability')} from margins"""
+
+
+def _stumps(rounds: int = 5, rate: float = 0.3) -> str:
+    """Adaptive boosting of stumps; ties within a billionth go to the first feature and the lowest threshold."""
+    long = " union all ".join(f"select case_id, label, {i} as f, {c}::double as v from marked where split = 'train'" for i, c in enumerate(FEATURES))
+    parts = ["w0 as (select case_id, 1.0::double as w from marked where split = 'train')"]
+    for k in range(rounds):
+        parts += [
+            f"h{k} as (select f, v, sum(case when label = 1 then w else 0 end) as p, sum(case when label = 0 then w else 0 end) as n from x join w{k} using (case_id) group by f, v)",
+            f"r{k} as (select f, v, (v + lead(v) over o) / 2 as cut, sum(p) over o as lp, sum(n) over o as ln, sum(p) over (partition by f) as tp, "
+            f"sum(n) over (partition by f) as tn from h{k} window o as (partition by f order by v))",
+            f"i{k} as (select *, lp * ln / (lp + ln) + (tp - lp) * (tn - ln) / (tp - lp + tn - ln) as impurity from r{k} where cut is not null)",
+            f"b{k} as materialized (select f, cut, case when lp > ln then 1 else 0 end as l, case when tp - lp > tn - ln then 1 else 0 end as r from i{k} "
+            f"where impurity <= (select min(impurity) from i{k}) * (1 + 1e-9::double) order by f, cut limit 1)",
+            f"q{k} as materialized (select case_id, w, (case when v <= cut then l else r end != label)::int as wrong from x join b{k} using (f) join w{k} using (case_id))",
+            f"a{k} as materialized (select {rate}::double * ln((1 - e) / e) as alpha from (select sum(w * wrong) / sum(w) as e from q{k}))",
+            f"w{k + 1} as materialized (select case_id, w * exp(alpha * wrong) as w from q{k}, a{k})",
+        ]
+    names = ", ".join(f"'{c}'" for c in FEATURES)
+    rows = " union all ".join(f"select {k + 1}::int as round, list_extract([{names}], f + 1) as feature, cut as threshold, {_r('alpha', 'alpha')} from b{k}, a{k}" for k in range(rounds))
+    return f"{SPLIT_SQL}, x as materialized ({long}), {', '.join(parts)} {rows}"
+
+
+def _tree(depth: int = 5) -> str:
+    """A decision tree by Gini impurity, level by level, with thresholds halfway between values; sibling leaves of one class are joined."""
+    gini = lambda p, n: f"(1 - ({p} * {p} + {n} * {n})::double / (({p} + {n}) * ({p} + {n})))"
+    parts = ["t0 as materialized (select *, 1 as n0 from marked)"]
+    for k in range(depth):
+        long = " union all ".join(f"select n{k} as node, {i} as f, {c} as v, label from t{k} where split = 'train' and n{k} is not null" for i, c in enumerate(FEATURES))
+        moved = " ".join(f"when b.f = {i} then ({c} > cut)::int" for i, c in enumerate(FEATURES))
+        parts += [
+            f"h{k} as (select node, f, v, sum(label) as p, sum(1 - label) as n from ({long}) group by node, f, v)",
+            f"r{k} as (select node, f, (v + lead(v) over o) / 2.0::double as cut, sum(p) over o as lp, sum(n) over o as ln, sum(p) over (partition by node, f) as tp, "
+            f"sum(n) over (partition by node, f) as tn from h{k} window o as (partition by node, f order by v))",
+            f"g{k} as (select node, f, cut, {gini('tp', 'tn')} - (lp + ln) / (tp + tn) * {gini('lp', 'ln')} - (tp + tn - lp - ln) / (tp + tn) * {gini('(tp - lp)', '(tn - ln)')} as gain "
+            f"from (select node, f, cut, lp::double as lp, ln::double as ln, tp::double as tp, tn::double as tn from r{k} where cut is not null))",
+            f"b{k} as materialized (select * from g{k} where gain > 1e-15::double qualify row_number() over (partition by node order by round(gain, 12) desc, f, cut) = 1)",
+            f"t{k + 1} as materialized (select t.*, case when b.f is not null then 2 * n{k} + (case {moved} end) end as n{k + 1} from t{k} t left join b{k} b on b.node = n{k})",
+        ]
+    for k in range(depth, -1, -1):
+        counts = f"c{k} as materialized (select n{k} as node, sum(label)::double as p, sum(1 - label)::double as n from t{depth} where split = 'train' and n{k} is not null group by n{k})"
+        if k == depth:
+            leaf = f"l{k} as materialized (select node, p, n, true as leaf from c{k})"
+        else:
+            leaf = (
+                f"l{k} as materialized (select c.node, c.p, c.n, b.f is null or (x.leaf and y.leaf and (x.p > x.n) = (y.p > y.n)) as leaf from c{k} c "
+                f"left join b{k} b on b.node = c.node left join l{k + 1} x on x.node = 2 * c.node left join l{k + 1} y on y.node = 2 * c.node + 1)"
+            )
+        parts += [counts, leaf]
+    joins = " ".join(f"left join l{k} on l{k}.node = n{k}" for k in range(depth + 1))
+    share = "case " + " ".join(f"when l{k}.leaf then l{k}.p / (l{k}.p + l{k}.n)" for k in range(depth + 1)) + " end"
+    return f"""{SPLIT_SQL}, {", ".join(parts)},
+scored as (select case_id, label, {share} as share from t{depth} {joins} where split = 'test')
+select case_id, label, case when share > 0.5 then 1.0::double else 0.0::double end as prediction, {_r('share', 'probability')} from scored"""
+
+
+def _discriminant(shrinkage: str) -> str:
     """Linear discriminant analysis; the linear system is solved by elimination, a column at a time."""
     d = len(FEATURES)
     moments = ", ".join(f"avg({c}) as a_{c}, stddev_pop({c}) as s_{c}" for c in FEATURES)
     long = " union all ".join(f"select case_id, label, split, {i} as f, ({c} - a_{c}) / s_{c} as z from marked, moments" for i, c in enumerate(FEATURES))
-    steps = ",\n".join(
-        f"e{k + 1} as (select e.i, e.j, case when e.i = {k} then e.v / p.v else e.v - l.v * r.v / p.v end as v from e{k} e "
-        f"join e{k} p on p.i = {k} and p.j = {k} join e{k} l on l.i = e.i and l.j = {k} join e{k} r on r.i = {k} and r.j = e.j)"
-        for k in range(d)
-    )
     return f"""{SPLIT_SQL},
 moments as (select {moments} from marked where split = 'train'),
 z as ({long}),
@@ -167,9 +319,9 @@ centred as (select case_id, z.f, z - m as z from z join m on z.f = m.f and z.lab
 cov as (select a.f as i, b.f as j, sum(a.z * b.z) / (select sum(n) from m where f = 0) as v
         from centred a join centred b on a.case_id = b.case_id group by a.f, b.f),
 gap as (select a.f, b.m - a.m as gap, a.m + b.m as both_m, ln(b.n / a.n) as odds from m a join m b on a.f = b.f and a.label = 0 and b.label = 1),
-e0 as (select i, j, {1 - shrinkage}::double * v + case when i = j then {shrinkage}::double / {d} * (select sum(v) from cov where i = j) else 0 end as v from cov
+e0 as (select i, j, (1 - {shrinkage}) * v + case when i = j then {shrinkage} / {d} * (select sum(v) from cov where i = j) else 0 end as v from cov
        union all select f, {d}, gap from gap),
-{steps},
+{_eliminate(d)},
 w as (select i as f, v as w from e{d} where j = {d}),
 b as (select -0.5::double * sum(both_m * w) + max(odds) as b from w join gap using (f)),
 margins as (select case_id, label, sum(z * w) + any_value(b) as margin from z join w using (f), b where split = 'test' group by case_id, label)
@@ -334,7 +486,12 @@ ORACLES: dict[str, str] = {
     "split_counts": f"""{THREE_SQL} select part as split, count(*) as n,
         {_r('count(*)::double / (select count(*) from three)', 'share')} from three group by part""",
     "gaussian_nb": _bayes(),
-    "lda_fit": _discriminant(0.1),
+    "lda_fit": _discriminant("0.1::double"),
+    "logreg_fit": _logistic(),
+    "dt_fit": _tree(),
+    "adaboost_rounds": _stumps(),
+    "tune_random": _tuned(),
+    "best_report": _best_report(),
     "cv_score": f"""{_cv_bayes([1e-9])}
         select 'Naive Bayes' as model, round(score, 4) as cv_mean, round(spread, 4) as cv_std from means""",
     "best_trial": f"""{_cv_bayes(SMOOTHINGS)}

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.scalars import label_name
 from surveyloom.operators import encoding, explain, metrics, profile, rank, sampling, series, splits, tuning
-from surveyloom.operators.classifiers import bayes, boosted_stumps, linear, neighbours, trees
-from surveyloom.operators.spaces import FAMILIES, Choice, Family, Real, Whole
+from surveyloom.operators import staged
+from surveyloom.operators.classifiers import bayes, boosted_stumps, linear, neighbours, perceptron, random_trees, trees
+from surveyloom.operators.classifiers.candidates import bayes_margin, from_moments
+from surveyloom.operators.spaces import FAMILIES, Choice, Family, Real
 from surveyloom.plans.cases import cases, digits, gapped_cases, table
 from surveyloom.schema import CASE_SCHEMA, CATEGORIES, FEATURES, KEY, LABEL
 from surveyloom.session import fresh_path, materialize
@@ -404,7 +406,7 @@ def lda_fit(spark, sf):
 @query
 def logreg_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(linear.fit_logistic(train, FEATURES, LABEL, C=1.0), test)
+    return rounded(_scored(linear.fit_logistic(train, FEATURES, LABEL, C=1.0), test), "probability")
 
 
 @query
@@ -420,7 +422,7 @@ def svm_fit(spark, sf):
 @query
 def mlp_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(linear.fit_perceptron(train, FEATURES, LABEL), test)
+    return _scored(perceptron.fit_perceptron(train, FEATURES, LABEL, hidden=(100, 50)), test)
 
 
 @query
@@ -438,19 +440,28 @@ def rf_fit(spark, sf):
 @query
 def extra_trees_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(trees.fit_extra_trees(train, FEATURES, LABEL), test)
+    return _scored(random_trees.fit_extra_trees(train, FEATURES, LABEL, max_depth=10), test)
 
 
 @query
 def dt_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(trees.fit_tree(train, FEATURES, LABEL), test)
+    return rounded(_scored(trees.fit_tree(train, FEATURES, LABEL), test), "probability")
 
 
 @query
 def adaboost_fit(spark, sf):
     train, test = split_cases(spark, sf)
-    return _scored(boosted_stumps.fit_adaboost(train, FEATURES, LABEL), test)
+    return _scored(boosted_stumps.fit_adaboost(train, FEATURES, LABEL, n_estimators=199, learning_rate=0.3), test)
+
+
+@query
+def adaboost_rounds(spark, sf):
+    """The stumps of the first rounds, which SQL can repeat."""
+    train, _ = split_cases(spark, sf)
+    found = boosted_stumps.fit_adaboost(train, FEATURES, LABEL, n_estimators=5, learning_rate=0.3).detail
+    rows = [(k + 1, f, t, a) for k, ((f, t), a) in enumerate(zip(found["stumps"], found["alphas"], strict=True))]
+    return rounded(spark.createDataFrame(rows, "round int, feature string, threshold double, alpha double"), "alpha")
 
 
 @query
@@ -471,12 +482,8 @@ def knn_cases(spark, sf):
 # ---------------------------------------------------------------- tuning
 
 
-SMALL_TREE = Family("Decision Tree", trees.fit_tree, {"max_depth": Choice((1, 3, 5)), "criterion": Choice(("gini", "entropy"))})
-NO_SPACE = Family("Naive Bayes", bayes.fit_bayes, {})
-
-
 def _task(**changes) -> tuning.Task:
-    return tuning.Task(FEATURES, LABEL, KEY, **{"folds": 3, **changes})
+    return tuning.Task(FEATURES, LABEL, KEY, **changes)
 
 
 def _searched(spark, sf, search, **changes) -> DataFrame:
@@ -492,49 +499,85 @@ def _searched(spark, sf, search, **changes) -> DataFrame:
 @query
 def cv_score(spark, sf):
     one = [{"var_smoothing": 1e-9}]
-    trials = _searched(spark, sf, lambda f, task: tuning.cross_validate(f, FAMILIES["Naive Bayes"], one, task), folds=5)
+    trials = _searched(spark, sf, lambda f, task: tuning.cross_validate(f, FAMILIES["Naive Bayes"], one, task))
     return metrics.cv_summary(trials, ["model"])
 
 
 # Wide enough for the trials to differ.
 SMOOTHING = {"var_smoothing": Real(1e-9, 1e1, log=True)}
+DRAWS = 100
 
 
 @query
 def best_trial(spark, sf):
-    family = Family("Naive Bayes", bayes.fit_bayes, SMOOTHING)
-    trials = _searched(spark, sf, lambda f, task: tuning.random_search(f, family, task, 6), folds=5)
+    family = Family("Naive Bayes", bayes.fit_bayes, SMOOTHING, many=from_moments(bayes_margin))
+    trials = _searched(spark, sf, lambda f, task: tuning.random_search(f, family, task, DRAWS))
     best = tuning.best_trial(trials)
     smoothing = F.col("params")["var_smoothing"].cast("double")
     return rounded(best.select("model", "trial", "score", smoothing.alias("var_smoothing")), "score", "var_smoothing")
 
 
+SHRINKING = {"shrinkage": Real(0.0, 1.0)}
+
+
 @query
 def tune_random(spark, sf):
-    return _searched(spark, sf, lambda f, task: tuning.random_search(f, SMALL_TREE, task, 3), scoring="f1")
+    families = [
+        Family("Naive Bayes", bayes.fit_bayes, SMOOTHING, many=FAMILIES["Naive Bayes"].many),
+        Family("LDA", linear.fit_discriminant, SHRINKING, many=FAMILIES["LDA"].many),
+    ]
+    parts = [_searched(spark, sf, lambda f, task, own=own: tuning.random_search(f, own, task, DRAWS), scoring="f1") for own in families]
+    return rounded(profile.union_by_name(parts).select("model", "trial", "fold", "score"), "score")
 
 
 @query
-def tune_space(spark, sf):
-    family = Family("Naive Bayes", bayes.fit_bayes, {"var_smoothing": Real(1e-9, 1e-1, log=True)})
-    return _searched(spark, sf, lambda f, task: tuning.space_search(f, family, task, 6))
+def tune_logistic(spark, sf):
+    return _searched(spark, sf, lambda f, task: tuning.random_search(f, FAMILIES["Logistic Regression"], task, DRAWS), scoring="f1")
 
 
 @query
-def compare_models(spark, sf):
+def tune_space(spark, sf):
+    return _searched(spark, sf, lambda f, task: tuning.space_search(f, FAMILIES["Logistic Regression"], task, 80))
+
+
+COMPARED = ("Naive Bayes", "LDA", "Logistic Regression", "AdaBoost")
+
+
+def _compared(spark, sf):
     marked = materialize(splits.stratified_split(cases(spark, sf), KEY, LABEL), "cases")
     train, test = (marked.where(F.col("split") == part).drop("split") for part in ("train", "test"))
-    lda = Family("LDA", linear.fit_discriminant, {"shrinkage": Real(0.0, 1.0)})
-    stump = Family("AdaBoost", boosted_stumps.fit_adaboost, {"n_estimators": Whole(2, 4)})
-    return tuning.compare_models(train, test, [NO_SPACE, lda, SMALL_TREE, stump], _task(scoring="accuracy"), n_iter=2)[0]
+    task = _task(scoring="accuracy")
+    return train, test, task, tuning.compare_models(train, test, [FAMILIES[n] for n in COMPARED], task, n_iter=20)[0]
+
+
+@query
+def compare_models(spark, sf):
+    return _compared(spark, sf)[3]
+
+
+@query
+def best_report(spark, sf):
+    train, test = split_cases(spark, sf)
+    task = _task()
+    folded = tuning.with_folds(train, task)
+    try:
+        family = Family("LDA", linear.fit_discriminant, SHRINKING, many=FAMILIES["LDA"].many)
+        found = tuning.random_search(folded, family, task, DRAWS)
+    finally:
+        folded.unpersist()
+    out = tuning.report_best(train, test, family, found.best, task)
+    cells = out["confusion"].select(
+        F.concat(F.lit("actual "), F.col("actual"), F.lit(", predicted "), F.col("predicted")).alias("class_name"), F.col("n").alias("support")
+    )
+    return rounded(profile.union_by_name([out["report"], cells]), "precision", "recall", "f1")
 
 
 @query
 def gbt_early_stop(spark, sf):
-    marked = splits.three_way_split(cases(spark, sf), KEY)
-    known = marked.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    model = trees.fit_boosting(known, FEATURES, LABEL, n_estimators=30, validation="is_val")
-    return _scored(model, marked.where(F.col("split") == "test"))
+    marked = materialize(splits.three_way_split(cases(spark, sf), KEY), "cases")
+    train, val, test = (marked.where(F.col("split") == part).drop("split") for part in ("train", "val", "test"))
+    model, _ = staged.fit_boosting_early_stop(train, val, FEATURES, LABEL)
+    return _scored(model, test).withColumn("n_trees", F.lit(model.trees))
 
 
 # ---------------------------------------------------------------- explanations
@@ -542,7 +585,7 @@ def gbt_early_stop(spark, sf):
 
 def _boosted(spark, sf):
     train, test = split_cases(spark, sf)
-    return trees.fit_boosting(train, FEATURES, LABEL), train, test
+    return trees.fit_boosting(train, FEATURES, LABEL, n_estimators=100), train, test
 
 
 @query
@@ -562,8 +605,7 @@ def lime_explain(spark, sf):
 def ablation_report(spark, sf):
     train, test = split_cases(spark, sf)
     rows = sampling.sample_n(test, KEY, 30, seed=2)
-    params = {"n_estimators": 10}
-    return tuning.ablation_report(train, test, rows, FAMILIES["Gradient Boosting"], params, _task(), "severity", 1000)
+    return tuning.ablation_report(train, test, rows, FAMILIES["Gradient Boosting"], {"n_estimators": 100}, _task(), "severity")
 
 
 @query
