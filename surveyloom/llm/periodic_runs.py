@@ -12,7 +12,8 @@ of many. In a tile, a Z-function forward from each boundary tells how far q-peri
 reversed words how far to the left; roots that are powers of a shorter word are left to the shorter period.
 
 Stitching: fragments of one run in neighbouring places overlap by at least q words, those of different runs of the same period by less.
-Fragments are shuffled by document and period, joined where they overlap so far, and judged by their full length.
+Fragments are shuffled by document and period, joined where they overlap so far, and judged by their full length. To be collapsed, texts meet
+their runs by one shuffled hash join at every size: runs grow with the texts, so they are never broadcast, and texts aren't sorted.
 
 Cases: null and empty texts have no words and no runs, and null is kept as empty text. A null id is an id. Rows that agree in id and text are
 copies and get the same result, each on its own row. Texts of any length and of one repeated word are fine: work grows
@@ -225,7 +226,8 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
     tiles = keyed.mapInArrow(_tiles, TILES.format(id_type))
-    dealt = tiles.repartition("id", "digest", "step", "low", "first")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiles are few bytes and much work, so none are put together
+    dealt = tiles.repartition(parts, "id", "digest", "step", "low", "first")
     fragments = dealt.mapInArrow(_solve, f"id {id_type}, digest long, period long, start long, end long")
     return stitch(fragments)
 
@@ -266,7 +268,7 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"), *[F.col(c).alias(s) for c, s in safe.items()])
     match = F.col("id").eqNullSafe(F.col("run_id")) & (F.col("digest") == F.col("run_digest"))
     none = F.array().cast(RUNS)
-    joined = rows.join(runs, match, "left").select("text", F.coalesce("runs", none).alias("runs"), *safe.values(), F.coalesce("runs", none).alias("found"))
+    joined = rows.join(runs.hint("shuffle_hash"), match, "left").select("text", F.coalesce("runs", none).alias("runs"), *safe.values(), F.coalesce("runs", none).alias("found"))
     schema = joined.select(*safe.values(), "found", F.lit(0).cast("long").alias("n_words"), F.lit("").alias("kept")).schema
     out = joined.mapInArrow(_collapse, schema)
     return out.select(*[F.col(s).alias(c) for c, s in safe.items()], F.col("found").alias("runs"), "n_words", "kept")
