@@ -1,6 +1,6 @@
 """Token ids in binary files: one zstandard frame per document, one dictionary for all.
 
-A dictionary is trained on serialized id arrays of a bounded sample of text pieces. Documents are sorted by id over
+A dictionary is trained on the serialized id arrays of a bounded sample of whole documents (``sample_bytes`` of text). Documents are sorted by id over
 ordered partitions; each partition's task encodes its documents and writes one file:
 
     magic (8 bytes) | frames | index | footer
@@ -53,28 +53,28 @@ class TokenFiles:
         return hashlib.sha256(self.dictionary).hexdigest()
 
 
-def train_dictionary(
-    docs: DataFrame, tokenizer: str, id_type: str, size: int, sample_rows: int, sample_chars: int
-) -> bytes:
-    """Trained on about ``sample_rows`` pieces of at most ``sample_chars`` characters, at places drawn from the row's hash.
+def train_dictionary(docs: DataFrame, tokenizer: str, id_type: str, size: int, sample_bytes: int) -> bytes:
+    """Trained on the id arrays of whole documents: those of the smallest hash of id and text, about as many as hold ``sample_bytes`` of text together.
 
-    Only sizes depend on the dictionary. Too small samples give their plain bytes as dictionary.
+    Documents longer than that are not drawn. Only sizes depend on the dictionary; samples too small to train on give none.
     """
-    total = docs.count()
+    length = F.octet_length("text")
+    fitting = docs.where(length.between(1, sample_bytes))
+    total = fitting.agg(F.sum(length)).first()[0]
     if not total:
         return b""
-    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
-    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), spare + 1).cast("int")
-    drawn = docs.where(uniform(3, F.col("doc_id")) < min(1.0, sample_rows / total)).limit(2 * sample_rows)
-    texts = [r[0] for r in drawn.select(F.substring(F.col("text"), place + 1, F.lit(sample_chars))).collect()]
+    drawn = fitting.where(uniform(3, F.col("doc_id"), F.col("text")) < min(1.0, 1.2 * sample_bytes / total))
+    rows = drawn.select("text", length.alias("length")).orderBy(uniform(3, F.col("doc_id"), F.col("text"))).collect()  # sample_bytes and a fifth
+    ends = np.cumsum([r["length"] for r in rows])
+    texts = [r["text"] for r, end in zip(rows, ends, strict=True) if end <= sample_bytes]
     ids, starts = token_ids.encoder(tokenizer).encode(pa.array(texts, pa.string()))
     raw = ids.astype(id_type).tobytes()
     width = np.dtype(id_type).itemsize
-    pieces = [raw[a * width : b * width] for a, b in zip(starts, starts[1:]) if b > a]
+    arrays = [raw[a * width : b * width] for a, b in zip(starts, starts[1:], strict=False) if b > a]
     try:
-        return zstandard.train_dictionary(size, pieces, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(size, arrays, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-size:]
+        return b""
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -200,15 +200,14 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     dictionary_size: int = 65_536,
-    sample_rows: int = 1_000,
-    sample_chars: int = 4_000,
+    sample_bytes: int = 4 << 20,
 ) -> TokenFiles:
     """Write all documents in ascending id order. ``tokenizer`` is the path of a tokenizers file that every executor has."""
     require_columns(docs, id_col, text_col)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = "<u2" if max(token_ids.encoder(tokenizer).vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
-    dictionary = train_dictionary(rows, tokenizer, id_type, dictionary_size, sample_rows, sample_chars)
+    dictionary = train_dictionary(rows, tokenizer, id_type, dictionary_size, sample_bytes)
     folder = files.fresh_folder(spark, "tokens")
     with files.create(f"{folder}/{hashlib.sha256(dictionary).hexdigest()}.dictionary") as sink:
         sink.write(dictionary)

@@ -280,6 +280,16 @@ def test_token_files_round_trip(spark):
     assert few == {k: ids[k] for k in (0, 30, 60)}
 
 
+def test_dictionary_is_trained_on_whole_documents(spark):
+    docs = [(k, t) for k, (_, t) in enumerate(_near_docs(9, 30, 20))]
+    df = spark.createDataFrame(docs, TEXTS)
+    small, same = (token_files.train_dictionary(df.repartition(k), PATH, "<u2", 4096, 1 << 20) for k in (1, 6))
+    assert 0 < len(small) <= 4096 and small == same
+    assert token_files.train_dictionary(df, PATH, "<u2", 4096, 10) == b""  # no document is that short
+    plain_size, size = (sum(r["bytes"] for r in token_files.write_tokens(df, PATH, sample_bytes=n).manifest.collect()) for n in (1, 1 << 20))
+    assert size < plain_size
+
+
 def test_token_files_odd_rows_and_damage(spark):
     df = _odd(spark)
     tokens = token_files.write_tokens(df, PATH)
