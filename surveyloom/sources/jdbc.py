@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SETTINGS = ("url", "user", "password", "driver")
+# Queries up to this length are refused, and the catalogue query for the base tables of the public schema.
 SHORTEST_QUERY = 10
 PUBLIC_TABLES = (
     "SELECT table_name FROM information_schema.tables WHERE table_schema = 'public' AND table_type = 'BASE TABLE'"
@@ -35,7 +36,7 @@ def connection(spark: SparkSession, given: Mapping[str, str] | None = None) -> d
 def clean_query(query: str) -> str:
     """The query without its closing semicolon; one of 10 characters or fewer is refused."""
     if len(query) <= SHORTEST_QUERY:
-        raise ValueError("not a sufficient query")
+        raise ValueError(f"a query must be longer than {SHORTEST_QUERY} characters")
     return query.strip().rstrip(";").rstrip()
 
 

@@ -6,10 +6,14 @@ import numpy as np
 import pytest
 
 from surveyloom.operators import encoding, explain, metrics, profile, sampling, tuning
-from surveyloom.operators.classifiers import bayes, boosted_stumps, linear
+from surveyloom.operators.classifiers import bayes, boosted_stumps, linear, perceptron, random_trees, trees
 from surveyloom.operators.spaces import Choice, Real, Whole, draw_params
 
 ROWS = [(k, float(k % 7), float(k % 3), int(k % 7 > 3)) for k in range(60)]
+LEARNERS = [
+    linear.fit_logistic, linear.fit_svm, trees.fit_forest, trees.fit_tree, lambda df, f, y: trees.fit_boosting(df, f, y, n_estimators=2),
+    lambda df, f, y: perceptron.fit_perceptron(df, f, y, max_iter=2), lambda df, f, y: random_trees.fit_extra_trees(df, f, y, n_estimators=2),
+]
 FITS = [bayes.fit_bayes, linear.fit_discriminant, lambda df, f, y: boosted_stumps.fit_adaboost(df, f, y, n_estimators=2)]
 
 
@@ -34,6 +38,27 @@ def test_other_labels_fail(spark, table, fit, other):
         fit(table.union(spark.createDataFrame([(99, 1.0, 1.0, other)], table.schema)), ["a", "b"], "label")
 
 
+@pytest.mark.parametrize("fit", [*LEARNERS, *FITS])
+def test_training_rows_are_checked(spark, table, fit):
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        fit(table.union(spark.createDataFrame([(99, 1.0, 1.0, 2)], table.schema)), ["a", "b"], "label")
+    with pytest.raises(Exception, match="(?i)is missing|null|nan"):
+        fit(table.union(spark.createDataFrame([(99, None, 1.0, 1)], table.schema)), ["a", "b"], "label").predict(table).count()
+
+
+@pytest.mark.parametrize("row", [(2, 0.5), (None, 0.5), (1, None), (0, float("nan"))])
+def test_other_scores_fail(spark, row):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), row], "label int, score double")
+    for report in (metrics.roc_auc, metrics.log_loss):
+        with pytest.raises(Exception, match="must be 0 or 1"):
+            report(df, "label", "score").collect()
+
+
+def test_other_labels_have_no_accuracy(spark):
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        metrics.accuracy(spark.createDataFrame([(1, 1), (2, 1)], "label int, prediction int"), "label", "prediction").collect()
+
+
 def test_boolean_labels_train(table):
     model = bayes.fit_bayes(table.selectExpr("k", "a", "b", "label = 1 as label"), ["a", "b"], "label")
     assert model.predict(table).where("prediction = label").count() > 50
