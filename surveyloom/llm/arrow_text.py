@@ -5,6 +5,7 @@ Each distinct word of a slice is handled once and the rest is array work, so cos
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             at = stop
 
 
+def give_back() -> None:
+    """Return memory that is free, but kept by the allocators, to the system; workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """As ``slices``; what a slice has used is given back before the next one."""
+    for part in slices(batches, text, most):
+        yield part
+        give_back()
+
+
 @dataclass
 class Words:
     codes: np.ndarray  # a code per word, in reading order

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.llm.arrow_text import Words, slices, split_words
+from surveyloom.llm.arrow_text import Words, lean_slices, split_words
 from surveyloom.llm.columns import row_digest, same, spare_names, text_of
 from surveyloom.schema import require_columns
 from surveyloom.session import materialize
@@ -208,7 +208,7 @@ _HITS = T.StructType(
 def _match(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
-        for batch in slices(batches):
+        for batch in lean_slices(batches):
             found = items.find(normal_words(batch.column("text")))
             if found:
                 at = pa.array([f[0] for f in found])

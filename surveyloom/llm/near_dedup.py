@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import weighted_minhash as wm
-from surveyloom.llm.arrow_text import slices
+from surveyloom.llm.arrow_text import give_back, lean_slices
 from surveyloom.llm.columns import row_digest, same, spare_names, text_of
 from surveyloom.llm.components import components
 from surveyloom.schema import require_columns
@@ -53,7 +53,7 @@ COLUMNS = 2_048
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per slice of documents, compressed."""
     first = TaskContext.get().partitionId() << 32
-    for k, batch in enumerate(slices(batches, most=SCAN_BYTES)):
+    for k, batch in enumerate(lean_slices(batches, most=SCAN_BYTES)):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(batch)
@@ -86,6 +86,7 @@ def _count(bits: int):
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "slice", "gaps", "held"])
+                give_back()
 
     return run
 
@@ -121,6 +122,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [zstandard.compress(total[at].tobytes()) for at in np.split(place, ends[:-1])]
         columns = [pa.array([p[0] for p in parts], pa.int64()), pa.array([block] * len(parts), pa.int32()), pa.array(sums, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["slice", "block", "data"])
+        give_back()
 
 
 def _whole_sums(bits: int):
@@ -194,6 +196,7 @@ def _sign(docs: int):
                     continue
                 if packed is not None:
                     yield close(_unpack(packed), sums)
+                    give_back()
                 packed, sums = data, []
         if packed is not None:
             yield close(_unpack(packed), sums)
@@ -206,7 +209,7 @@ def _compare(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, kept = None, None
-        for batch in slices(batches, most=SCAN_BYTES):
+        for batch in lean_slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
             weights = wm.term_weight(s.counts) * _inverse(s, batch, sent.value)
             out = []
@@ -304,7 +307,7 @@ def _blocks(sent, threshold: float):
             columns = list(zip(*links, strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-        for batch in slices(batches, most=SCAN_BYTES):
+        for batch in lean_slices(batches, most=SCAN_BYTES):
             s = wm.Shingles(batch.column("text"))
             idf = _inverse(s, batch, sent.value)
             keys = zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j")), strict=True)

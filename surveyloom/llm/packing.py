@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.llm import token_ids
-from surveyloom.llm.arrow_text import slices
+from surveyloom.llm.arrow_text import lean_slices
 from surveyloom.schema import require_columns
 from surveyloom.session import materialize
 
@@ -96,7 +96,7 @@ def _cut(path: str, end_id: int, capacity: int):
     """The pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in lean_slices(batches):
             ids, starts = token_ids.with_end(*token_ids.encoder(path).encode(batch.column("text")), end_id)
             sizes = np.diff(starts)
             pieces = -(-sizes // capacity)

@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.arrow_text import Words, gather, slices, split_words
+from surveyloom.llm.arrow_text import Words, gather, lean_slices, split_words
 from surveyloom.llm.columns import text_of
 from surveyloom.schema import require_columns
 from surveyloom.session import materialize
 
 MIN_N, MAX_N = 3, 6
 #: Bytes of text whose n-grams, and whose words, are held at once.
-COUNT_BYTES, SCORE_BYTES = 3 << 20, 8 << 20
+COUNT_BYTES, SCORE_BYTES = 2 << 20, 4 << 20
 TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -94,7 +94,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class per n-gram, summed over the batch."""
-    for batch in slices(batches, most=COUNT_BYTES):
+    for batch in lean_slices(batches, most=COUNT_BYTES):
         words = marked_words(batch.column("text"))
         text, word = _words_by_text(words)
         grams: dict[str, int] = {}
@@ -127,7 +127,7 @@ def n_gram_ratios(rows: DataFrame, features: int, min_docs: int) -> dict[str, fl
 def _present(ratios: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {g: k for k, g in enumerate(ratios)}
-        for batch in slices(batches, most=COUNT_BYTES):
+        for batch in lean_slices(batches, most=COUNT_BYTES):
             words = marked_words(batch.column("text"))
             found = [[index[g] for g in n_grams(w) if g in index] for w in words.vocabulary.to_pylist()]
             rows: list[set[int]] = [set() for _ in range(batch.num_rows)]
@@ -209,7 +209,7 @@ def fit(
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in slices(batches, most=SCORE_BYTES):
+        for batch in lean_slices(batches, most=SCORE_BYTES):
             score = _logistic(model.margins(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
 
