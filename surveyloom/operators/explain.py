@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.hashing import uniform
 from surveyloom.operators.classifiers.base import PipelineClassifier
+from surveyloom.operators.classifiers.boosted_trees import BoostedTrees
 from surveyloom.operators.encoding import column_moments
 from surveyloom.operators.selection import grouped_quantiles
 from surveyloom.session import fresh_path
@@ -20,13 +21,15 @@ from surveyloom.session import fresh_path
 # ---------------------------------------------------------------- trees
 
 
-def tree_nodes(model: PipelineClassifier) -> DataFrame:
+def tree_nodes(model: PipelineClassifier | BoostedTrees) -> DataFrame:
     """The nodes of a tree, forest or boosted model: tree, id, children, split, gain and row count.
 
-    Read from the saved model, which Spark writes as a table of nodes.
+    Those of Spark's trainers are read from the saved model, which Spark writes as a table of nodes.
     """
-    stage = model.stage
     spark = SparkSession.active()
+    if isinstance(model, BoostedTrees):
+        return model.node_table(spark)
+    stage = model.stage
     if model.saved is None:
         model.saved = fresh_path(spark, "model")
         stage.save(model.saved)
@@ -49,7 +52,7 @@ def tree_nodes(model: PipelineClassifier) -> DataFrame:
     )
 
 
-def tree_importance(model: PipelineClassifier, kind: str = "gain") -> DataFrame:
+def tree_importance(model: PipelineClassifier | BoostedTrees, kind: str = "gain") -> DataFrame:
     """(feature, score), highest first: mean gain per split, mean rows per split, or number of splits.
 
     The kind is read from the text: 'gain' or 'cover' anywhere in it, anything else counts splits.
@@ -93,15 +96,17 @@ class Leaf:
         return inside @ (1 << np.arange(len(self.features)))
 
 
-def model_leaves(model: PipelineClassifier) -> list[Leaf]:
+def model_leaves(model: PipelineClassifier | BoostedTrees) -> list[Leaf]:
     """All leaves; values add up to the explained score (margin of boosted trees, else the probability)."""
     nodes = {(r["tree"], r["id"]): r for r in tree_nodes(model).collect()}  # one row per node of the model
     trees = sorted({t for t, _ in nodes})
-    if hasattr(model.stage, "treeWeights"):
+    boosted = isinstance(model, BoostedTrees)
+    if boosted:
+        weights = dict(enumerate(model.weights))
+    elif hasattr(model.stage, "treeWeights"):
         weights = dict(zip(trees, model.stage.treeWeights))
     else:
         weights = {0: 1.0}
-    boosted = type(model.stage).__name__.startswith("GBT")
     total = 1.0 if boosted else float(sum(weights.values()))
     leaves: list[Leaf] = []
 
@@ -192,7 +197,7 @@ def leaf_contribution(leaf: Leaf, own: int, shares: Mapping[int, float]) -> np.n
     return phi
 
 
-def shapley_rows(model: PipelineClassifier, df: DataFrame, background: DataFrame, key: str) -> DataFrame:
+def shapley_rows(model: PipelineClassifier | BoostedTrees, df: DataFrame, background: DataFrame, key: str) -> DataFrame:
     """(key, feature, value, contribution, base): exact Shapley values of a tree model for every row.
 
     The value of a coalition is the mean score over the whole background with the coalition's features
