@@ -6,83 +6,32 @@ of a boosted one, and one job gives the AUC of each of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.operators.classifiers.base import PipelineClassifier, binary_label, whole
-from surveyloom.operators.classifiers.random_trees import Nodes
+from surveyloom.operators.classifiers.base import binary_label, whole
+from surveyloom.operators.classifiers.boosted_trees import BoostedTrees, PackedTrees
 from surveyloom.operators.classifiers.trees import fit_boosting
-from surveyloom.operators.explain import tree_nodes
 from surveyloom.operators.rank import prefix_sums
+from surveyloom.session import discard, materialize
 
 
-@dataclass
-class PackedTrees:
-    """All nodes of a boosted model in arrays; ``value`` is what a leaf adds to the margin."""
-
-    features: list[str]
-    nodes: Nodes
-    value: np.ndarray
-    trees: int
-
-    def additions(self, x: np.ndarray) -> np.ndarray:
-        """What each tree adds for each row: [rows, trees]."""
-        return self.value[self.nodes.route(x, np.arange(self.trees))].T
-
-    def prefix(self, trees: int) -> PackedTrees:
-        """The model of the first trees."""
-        return PackedTrees(self.features, self.nodes, self.value, trees)
-
-    def _scored(self, df: DataFrame, kind: str, last: bool, name: str) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(self)  # the size of the model
-
-        @F.pandas_udf(kind)
-        def margins(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for cols in batches:
-                x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-                added = sent.value.additions(x)
-                yield pd.Series(added.sum(axis=1) if last else list(added.cumsum(axis=1)))
-
-        sound = [whole(F.col(c).cast("double"), self.features) for c in self.features]
-        return df.withColumn(name, margins(*sound))
-
-    def staged_margins(self, df: DataFrame, name: str = "margins") -> DataFrame:
-        """``df`` with an array of the margins after each tree."""
-        return self._scored(df, "array<double>", False, name)
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = self._scored(df, "double", True, "_margin")
-        probability = 1 / (1 + F.exp(-2 * F.col("_margin")))
-        return out.select(*df.columns, F.when(F.col("_margin") > 0, 1.0).otherwise(0.0).alias("prediction"), probability.alias("probability"))
+def pack(model: BoostedTrees) -> PackedTrees:
+    """The trees of a fitted boosted model."""
+    return model.packed
 
 
-def pack(model: PipelineClassifier) -> PackedTrees:
-    """The trees of a fitted boosted model."""
-    table = sorted(tree_nodes(model).collect(), key=lambda r: (r["id"] != 0, r["tree"], r["id"]))  # roots first, by tree
-    place = {(r["tree"], r["id"]): k for k, r in enumerate(table)}
-    weights = model.stage.treeWeights
-    inner = [r["left"] >= 0 for r in table]
-    child = lambda side: np.array([place[r["tree"], r[side]] if i else -1 for r, i in zip(table, inner, strict=True)])
-    feature = np.array([r["feature_index"] if i else -1 for r, i in zip(table, inner, strict=True)])
-    threshold = np.array([r["threshold"] if i else 0.0 for r, i in zip(table, inner, strict=True)], float)
-    tree = np.array([r["tree"] for r in table])
-    nodes = Nodes(feature, threshold, child("left"), child("right"), np.zeros((len(table), 2)), np.ones(len(table), np.int64), tree)
-    value = np.array([r["prediction"] * weights[r["tree"]] for r in table])
-    return PackedTrees(list(model.features), nodes, value, len(weights))
-
-
-def staged_auc(df: DataFrame, label: str, margins: str = "margins") -> DataFrame:
-    """(trees, auc): the area under the curve after each number of trees, null when a class is absent.
+def staged_auc(df: DataFrame, label: str, margins: str = "margins", count: str | None = None) -> DataFrame:
+    """(trees, auc): the area under the curve after each number of trees, null when a class is absent. ``count`` says how many rows a row stands for.
 
     Scores are counted per distinct value with running sums, as in ``roc_auc``, for all numbers of trees together.
     """
-    each = df.select(binary_label(label).alias("_y"), F.posexplode(margins).alias("_k", "_s"))
-    counted = each.groupBy("_k", "_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_q"))
+    n = F.col(count) if count else F.lit(1)
+    each = df.select(binary_label(label).alias("_y"), n.cast("long").alias("_n"), F.posexplode(margins).alias("_k", "_s"))
+    rows = [F.sum(F.when(F.col("_y") == y, F.col("_n")).otherwise(0)).alias(name) for y, name in ((1, "_p"), (0, "_q"))]
+    counted = each.groupBy("_k", "_s").agg(*rows)
     summed = prefix_sums(counted, "_s", ["_q"], "_k")
     p, q = F.col("_p").cast("double"), F.col("_q").cast("double")
     auc = F.try_divide(F.sum(p * (F.col("_q_before") + q / 2)), F.sum(p) * F.sum(q))
@@ -108,16 +57,20 @@ def fit_boosting_early_stop(
 ) -> tuple[PackedTrees, DataFrame]:
     """Boosted trees up to the best AUC on the validation rows; and (trees, auc) of all numbers of trees that were looked at.
 
-    The first trees of a longer fit are those of a shorter one, so fits of doubling length are tried until patience runs out.
+    The first trees of a longer fit are those of a shorter one, so fits of doubling length are tried until patience runs out. Equal validation rows are
+    scored as one counted row.
     """
+    slim = validation.select(*features, label)
+    counted = materialize(slim.groupBy(*slim.columns).agg(F.count("*").alias("_n")), "validation-rows", spread=True)
     size = min(n_estimators, patience + max(1, patience // 4))
     while True:
         packed = pack(fit_boosting(train, features, label, n_estimators=size, **options))
-        scored = staged_auc(packed.staged_margins(validation.select(*features, label)), label)
+        scored = staged_auc(packed.staged_margins(counted), label, count="_n")
         rows = sorted((r["trees"], r["auc"]) for r in scored.collect())  # one row per tree
         if not rows or any(a is None for _, a in rows):
             raise ValueError("the validation rows must hold both classes")
         best, ended = best_prefix([a for _, a in rows], patience)
         if ended or size >= n_estimators or len(rows) < size:
+            discard(counted)
             return packed.prefix(best), train.sparkSession.createDataFrame(rows, "trees int, auc double")
         size = min(n_estimators, 2 * size)
