@@ -312,11 +312,12 @@ class Bins:
 
 
 def quartile_bins(train: DataFrame, features: Sequence[str]) -> dict[str, Bins]:
-    """Bins of every feature from two passes over the training rows."""
+    """Bins of every feature from two passes over the training rows; quartiles come from counted values."""
     typed = train.select(*[F.col(c).cast("double").alias(c) for c in features])
     long = typed.unpivot([], list(features), "feature", "value")
     edges: dict[str, set] = {c: set() for c in features}
-    for r in grouped_quantiles(long, [0.25, 0.5, 0.75]).collect():
+    values = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    for r in grouped_quantiles(values, [0.25, 0.5, 0.75], copies="n").collect():
         edges[r["feature"]].add(r["quantile"])
     out = {c: Bins(sorted(edges[c]), [], []) for c in features}
     number = F.lit(None).cast("int")
@@ -349,17 +350,19 @@ def lime_explain(
     kernel_width: float | None = None,
     ridge: float = 1.0,
     seed: int = 1,
+    bins: Mapping[str, Bins] | None = None,
 ) -> DataFrame:
     """(key, feature, weight, intercept, local_prediction) for each row, strongest feature first by ``place``.
 
     Around each row, samples are drawn bin by bin as the training rows are spread; the model scores
     them; and a ridge regression on "same bin as the row", weighted by nearness, gives the weights.
     Samples are spread over the cluster and reach the solver as sums, one small matrix per row.
+    ``bins`` are those of ``quartile_bins`` for the same training rows, for callers that explain more than one model.
     """
     features = list(features)
     d = len(features)
     width = kernel_width or 0.75 * math.sqrt(d)
-    bins = quartile_bins(train, features)
+    bins = quartile_bins(train, features) if bins is None else bins
     keep = [key, *features]
     grid = (
         rows.select(*keep)

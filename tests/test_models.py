@@ -142,6 +142,27 @@ def test_local_surrogate(parts):
     assert sorted(got.collect()) == sorted(got.collect())
 
 
+def test_ablation_explains_both_variants_with_the_same_bins(parts, monkeypatch):
+    train, test = parts
+    rows = sampling.sample_n(test, KEY, 3)
+    counted, quantiles = [], explain.grouped_quantiles
+
+    def seen(long, *args, **more):
+        counted.append(long.count())
+        return quantiles(long, *args, **more)
+
+    monkeypatch.setattr(explain, "grouped_quantiles", seen)
+    task = tuning.Task(FEATURES, LABEL, KEY)
+    got = tuning.ablation_report(train, test, rows, Family("Naive Bayes", bayes.fit_bayes, {}), {}, task, "severity", 300)
+    assert counted == [sum(train.select(c).distinct().count() for c in FEATURES)]  # found once, and from counted values
+    means = {(r["variant"], r["feature"]): r["mean_abs_weight"] for r in got.collect()}
+    wanted = {}
+    for variant, features in (("all features", FEATURES), ("without severity", [c for c in FEATURES if c != "severity"])):
+        weights = explain.lime_explain(bayes.fit_bayes(train, features, LABEL), train, rows, features, KEY, 300)
+        wanted |= {(variant, r["feature"]): r["m"] for r in weights.groupBy("feature").agg(F.avg(F.abs("weight")).alias("m")).collect()}
+    assert means == pytest.approx(wanted)
+
+
 def test_draws(parts):
     space = {"a": Choice((1, 2)), "b": Whole(1, 3)}
     assert len(draw_params(space, 100)) == 6

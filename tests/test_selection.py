@@ -53,3 +53,14 @@ def test_rows_of_a_range_by_any_key(spark, kind):
     everything = [r["position"] for r in sampling.sample_range(df, "key", 190, 20, 21).collect()]
     assert everything == list(range(190, 200))
     assert sampling.sample_range(df, "key", 500, 5, 2).count() == 0
+
+
+def test_counted_values_have_the_quantiles_of_their_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, most in (("a", 4), ("b", 50)) for v in rng.integers(-most, most, 301)] + [("a", None), ("b", float("nan"))]
+    long = spark.createDataFrame(rows, "feature string, value double").repartition(5)
+    counted = long.groupBy("feature", "value").count()
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    want = sorted(map(tuple, selection.grouped_quantiles(long, probs).collect()))
+    assert sorted(map(tuple, selection.grouped_quantiles(counted, probs, copies="count").collect())) == want
+    assert want == sorted((g, p, float(np.quantile([v for h, v in rows if h == g and v is not None and v == v], p))) for g in "ab" for p in probs)
